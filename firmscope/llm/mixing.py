@@ -111,7 +111,7 @@ def mix(
     copies = rows.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_repeats)])))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double") / F.col("weight"))
     n = F.ceil(F.col("n_all") / F.lit(float(BUCKET_ROWS)))
-    slice_ = F.when(F.col("level") > 0, F.least(F.floor(F.col("finish") / F.col("level") * n), 2 * n)).otherwise(F.lit(0))
+    slice_ = F.when(F.col("level") > 0, F.floor(F.col("finish") / F.col("level") * n)).otherwise(F.lit(0))
     copies = copies.withColumn("slice", slice_.cast("long")).select("id", "size", "source_size", "target", "rank", "slot", "place", "epoch", "finish", "slice", "budget", "u")
     queued = _prefix(copies, [], "slice", ["finish", "rank", "epoch", "u", "id", "size"], "size", "sent")
     sent = F.when(F.col("sent") <= F.col("budget"), 1).otherwise(0)
