@@ -171,13 +171,21 @@ class Order:
         start = np.cumsum(n) - n
         at = np.arange(len(token)) - np.repeat(start, n)
         least = needed(n, self.percent)
-        load = np.concatenate([[0], np.cumsum(weight)])
+        doc_of = np.repeat(np.arange(len(n)), n)
+        some = np.flatnonzero(weight)
+        heavy, owner, place = weight[some], doc_of[some], at[some]
+        family = owner * 64 + np.log2(heavy).astype(np.int64)
         level, cost = np.ones(len(n), np.int64), np.full(len(n), np.inf)
         for x in LEVELS:
             reach = np.minimum(n - least + x, n)
-            read = load[start + reach] - load[start]
-            # At most read / x documents can share x of these entries.
-            now = np.where(x <= np.maximum(least, 1), read + VERIFY_COST * read / x, np.inf)
+            inside = place < reach[owner]
+            read = np.bincount(owner[inside], heavy[inside], len(n))
+            # Lists of about one length are taken for those of one group of copies:
+            # whoever is in one is in all, and is a candidate if there are x of them.
+            groups, first, times = np.unique(family[inside], return_index=True, return_counts=True)
+            met = times >= x
+            candidates = np.bincount(groups[met] // 64, heavy[inside][first[met]], len(n))
+            now = np.where(x <= np.maximum(least, 1), read + VERIFY_COST * candidates, np.inf)
             level, cost = np.where(now < cost, x, level), np.minimum(now, cost)
         keep = at < np.repeat(np.minimum(n - least + level, n), n)
         return token[keep], doc[keep], at[keep], level
@@ -263,24 +271,25 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         yield left
 
 
-def _can_link(n, live, at, i, j, percent: int, first_match: np.ndarray | bool):
+def _can_link(n, live, at, i, j, percent: int, demand):
     """False for pairs that cannot reach the threshold: sizes too far apart, or too few
-    shingles left that other sets share (``live``), or, where the list may be taken for
-    the pair's first common shingle, too few from it on."""
+    shingles left that other sets share (``live``). Nor does a list count towards the
+    ``demand`` shared shingles where it lies behind the prefixes that this very pair of
+    sizes needs, which are shorter than those of the sets alone."""
     both = n[i].astype(np.int64) + n[j]
-    most = np.minimum(live[i], live[j])
-    most = np.where(first_match, np.minimum(most, np.minimum(n[i] - at[i], n[j] - at[j])), most)
+    most = np.minimum(np.minimum(live[i], live[j]), np.minimum(n[i] - at[i], n[j] - at[j]) + demand - 1)
     return (100 + percent) * most >= percent * both
 
 
 def _hub_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Each member of a list with the list's hub, the member of smallest node."""
+    """Each member of a list with the list's hub, the member that keeps most of its
+    shingles to others: among copies of one text, the least changed one."""
     found: list[np.ndarray] = []
     size = 0
     for t in _lists(batches):
-        hub = np.full(len(t["node"]) - 1, np.argmin(t["node"]))
+        hub = np.full(len(t["node"]) - 1, np.lexsort((t["node"], -t["live"] / t["n"]))[0])
         rest = np.delete(np.arange(len(t["node"])), hub[0])
-        ok = _can_link(t["n"], t["live"], t["at"], hub, rest, percent, True)
+        ok = _can_link(t["n"], t["live"], t["at"], hub, rest, percent, 1)
         found.append(np.stack([t["node"][hub[ok]], t["node"][rest[ok]]], 1))
         size += len(found[-1])
         if size > 1 << 18:
@@ -312,7 +321,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             i = np.repeat(np.arange(at, to), count[at:to])
             j = tk.ranges(np.arange(at, to) + 1, count[at:to])
             demand = np.minimum(t["level"][i], t["level"][j])
-            ok = (t["root"][i] != t["root"][j]) & _can_link(n, t["live"], t["at"], i, j, percent, demand == 1)
+            ok = (t["root"][i] != t["root"][j]) & _can_link(n, t["live"], t["at"], i, j, percent, demand)
             x, y = t["node"][i[ok]], t["node"][j[ok]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
             demands.append(demand[ok])
