@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from firmscope.llm import chat, decontaminate, jaccard_join, mixing, quality_model, quality_rules, substring_dedup, token_counts, warc
+import corpus_pipeline
+from firmscope.llm import chat, decontaminate, jaccard_join, lm_scoring, mixing, quality_model, quality_rules, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), tokenizer_path(), held_out)
+
+
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -81,6 +87,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
+    "op3_lm_score": op3_lm_score,
     "op4_warc_archives": op4_warc_archives,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_rules": op6_quality_rules,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}

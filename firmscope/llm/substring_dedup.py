@@ -231,6 +231,7 @@ def _match_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
 _RESULT = T.StructType(
     [
         T.StructField("id", T.LongType()),
+        T.StructField("key", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
@@ -240,14 +241,14 @@ _RESULT = T.StructType(
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut spans out of (id, text, spans) and join the kept words by one space."""
+    """Cut spans out of (id, key, text, spans) and join the kept words by one space."""
     for b in batches:
-        spans = b.column(2)
+        spans = b.column(3)
         sizes = np.where(np.array(spans.is_valid()), np.diff(spans.offsets.to_numpy()), 0) if len(b) else np.zeros(0, np.int64)
         s_off = np.concatenate([[0], np.cumsum(sizes)])
         flat = spans.flatten()
         start, end = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
-        for at, to, data, offsets in tk.chunks(b.column(1)):
+        for at, to, data, offsets in tk.chunks(b.column(2)):
             w = tk.words(data, offsets)
             doc = np.repeat(np.arange(to - at), sizes[at:to])
             mine = slice(s_off[at], s_off[to])
@@ -274,10 +275,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.StructArray.from_arrays([pa.array((s - w.first[sd]).astype(np.int32)), pa.array((e - w.first[sd]).astype(np.int32))], ["start", "end"]),
             )
             removed = np.bincount(np.searchsorted(w.first, np.flatnonzero(gone), "right") - 1, minlength=to - at)
-            yield pa.RecordBatch.from_arrays([b.column(0)[at:to], pa.array(w.n_words), pa.array(removed), lists, kept_text], _RESULT.names)
+            yield pa.RecordBatch.from_arrays([b.column(0)[at:to], b.column(1)[at:to], pa.array(w.n_words), pa.array(removed), lists, kept_text], _RESULT.names)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_key: bool = False) -> DataFrame:
     """One row a document: id (long), n_words, n_removed, spans, kept.
 
     Removes each word covered by a window of ``window`` words (unchanged, split
@@ -286,6 +287,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     space. Windows are judged on the input. Rows of equal id never remove from
     each other, whether their texts agree or not; rows without id neither lose
     words nor remove any; null and empty texts keep nothing. Ids are integers.
+    ``keep_key`` adds ``key``, xxhash64 of the text, to tell rows of one id apart.
     """
     spark = docs.sparkSession
     n_blocks = BLOCKS * n_parts(spark)
@@ -305,5 +307,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     unsure = base.join(by_document(found.where(F.col("kind") == CHECK)), ["id", "key"]).select("id", "key", "text", "spans")
     checked = dealt(unsure.mapInArrow(lambda it: _windows(it, window, n_blocks), _BLOB)).mapInArrow(lambda it: _match_windows(it, window), _SPAN)
     spans = by_document(found.where(F.col("kind") == MATCHED).unionByName(checked))
-    cut = base.join(spans, ["id", "key"], "left").select("id", "text", "spans").mapInArrow(_cut, _RESULT)
+    cut = base.join(spans, ["id", "key"], "left").select("id", "key", "text", "spans").mapInArrow(_cut, _RESULT)
+    cut = cut if keep_key else cut.drop("key")
     return cut.withColumn("id", F.when(F.col("id") > _NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
