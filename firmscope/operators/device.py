@@ -99,7 +99,7 @@ def resolve_links(entries: DataFrame, hops: int = 8) -> DataFrame:
 
     def target(path: Column, link: Column) -> Column:
         parent = F.regexp_replace(path, r"[^/]*$", "")
-        joined = F.when(link.startswith("/"), F.ltrim(F.lit("/"), link)).otherwise(F.concat(parent, link))
+        joined = F.when(link.startswith("/"), F.regexp_replace(link, "^/+", "")).otherwise(F.concat(parent, link))
         plain = F.regexp_replace(joined, r"(^|/)\.(?=/|$)", "$1")
         for _ in range(4):
             plain = F.regexp_replace(plain, r"(^|/)(?!\.\.(?:/|$))[^/]+/\.\.(/|$)", "$1")
