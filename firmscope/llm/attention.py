@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 WIDTH = 32  # of a context window
-STRIDE = 26  # tokens that each window but the first scores
+STRIDE = 28  # tokens that each window but the first scores
 DIM = 32
 CLASSES = 128
 #: Subwords with an embedding and a follower row of their own; others share their class's.
@@ -45,7 +45,7 @@ def build_vocabulary(ids: np.ndarray, size: int, seed: int = 5) -> Vocabulary:
     stands before them; what is too rare to tell is the last class."""
     count = np.bincount(ids, minlength=size + 1)
     order = np.argsort(-count, kind="stable")
-    alone = CLASSES // 2
+    alone = min(CLASSES // 2, size + 1)
     class_of = np.full(size + 1, CLASSES - 1)
     class_of[order[:alone]] = np.arange(alone)
     if not len(np.flatnonzero(class_of == class_of[size])) == 1:
@@ -56,7 +56,7 @@ def build_vocabulary(ids: np.ndarray, size: int, seed: int = 5) -> Vocabulary:
     n = CLASSES - alone - 1
     if len(middle) > n:
         before = np.full(size + 1, 255)
-        before[order[:255]] = np.arange(255)
+        before[order[:255]] = np.arange(len(order[:255]))
         place = np.full(size + 1, -1)
         place[middle] = np.arange(len(middle))
         at = place[ids[1:]]
@@ -160,9 +160,6 @@ class Model:
             "key": draw(DIM, DIM),
             "value": draw(DIM, DIM),
             "out": draw(DIM, DIM, k=0.3),
-            "up": draw(DIM, DIM),
-            "up_bias": np.zeros(DIM, np.float32),
-            "down": draw(DIM, DIM, k=0.3),
             "head": np.zeros((DIM, CLASSES), np.float32),
             "bias": np.zeros(CLASSES, np.float32),
         }
@@ -181,12 +178,10 @@ class Model:
         a /= a.sum(-1, keepdims=True)
         c = np.matmul(a, v)
         z = (h + c @ p["out"])[keep]
-        u = np.maximum(z @ p["up"] + p["up_bias"], 0)
-        f = z + u @ p["down"]
-        logits = f @ p["head"]
+        logits = z @ p["head"]
         logits += p["bias"]
         logits += self.table[rows[keep]]
-        return logits, {"h": h, "q": q, "k": k, "v": v, "a": a, "c": c, "z": z, "u": u, "f": f}
+        return logits, {"h": h, "q": q, "k": k, "v": v, "a": a, "c": c, "z": z}
 
     def scores(self, x: np.ndarray, y: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """Natural log probability of each text of ``sequences``, in batches of windows.
@@ -218,8 +213,7 @@ class Model:
             c = np.matmul(a, h[:, :, 2 * DIM : 3 * DIM])
             c /= a.sum(-1, keepdims=True) + np.float32(1e-30)
             z = (h[:, :, 3 * DIM :] + c)[keep]
-            f = z + np.maximum(z @ p["up"] + p["up_bias"], 0) @ p["down"]
-            logits = f @ p["head"]
+            logits = z @ p["head"]
             logits += p["bias"]
             logits += self.table[rows[keep]]
             i = where[keep]
@@ -265,9 +259,7 @@ class Model:
         logits /= logits.sum(1, keepdims=True)
         logits[np.arange(len(target)), target] -= 1
         d = logits / np.float32(max(len(target), 1))
-        df = d @ p["head"].T
-        du = (df @ p["down"].T) * (s["u"] > 0)
-        dz = df + du @ p["up"].T
+        dz = d @ p["head"].T
         full = np.zeros_like(s["h"])
         full[keep] = dz
         flat = lambda t: t.reshape(-1, t.shape[-1])
@@ -286,10 +278,7 @@ class Model:
             "key": flat(s["h"]).T @ flat(dk),
             "value": flat(s["h"]).T @ flat(dv),
             "out": flat(s["c"]).T @ flat(full),
-            "up": s["z"].T @ du,
-            "up_bias": du.sum(0),
-            "down": s["u"].T @ df,
-            "head": s["f"].T @ d,
+            "head": s["z"].T @ d,
             "bias": d.sum(0),
         }
 

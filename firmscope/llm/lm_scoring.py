@@ -9,11 +9,13 @@ Only the attention weights are fitted on a bounded sample.
 
 from __future__ import annotations
 
+import base64
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from firmscope.llm import attention
 from firmscope.llm import textkernel as tk
 from firmscope.llm.shared import n_parts, need, saved
+from firmscope.llm.token_counts import PATTERN
 
 #: Documents that are drawn for the sample (by a hash of the id), and the tokens
 #: of it that the attention weights are trained on at most.
@@ -30,7 +33,7 @@ SAMPLE_BYTES = 1 << 16
 #: Words counted in the map tasks.
 FREQUENT = 1 << 15
 #: Subword lists that a worker keeps at most.
-CACHE_SIZE = 500_000
+CACHE_SIZE = 600_000
 _CHUNK = 2 << 20
 _BLOCKS, _SLICES = 4, 64
 
@@ -38,38 +41,66 @@ _ROW = np.dtype([("id", "<i8"), ("key", "<i8"), ("train", "u1")])
 _ENTRY = np.dtype([("word", "<u8"), ("row", "<u4")])
 _CELL = np.dtype([("at", "<u4"), ("n", "<u8")])
 _BLOB = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("entries", T.BinaryType())])
-_PART = T.StructType([T.StructField(c, t) for c, t in (("id", T.LongType()), ("key", T.LongType()), ("part", T.DoubleType()), ("known", T.LongType()), ("words", T.LongType()), ("total", T.LongType()), ("cells", T.BinaryType()))])
+_PART = "block int, sums binary, words long, total long, cells binary"
+_SUM = np.dtype([("id", "<i8"), ("key", "<i8"), ("part", "<f8"), ("known", "<i8")])
 
-_tokenizers: dict[str, object] = {}
-_cache: dict[int, bytes] = {}
+_ODD_SPACE = regex.compile(r"[^\S\n ]")
+_encodings: dict[str, object] = {}
+_cache: list[dict[int, bytes]] = [{}, {}]
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def _encoding(path: str):
+    if path not in _encodings:
+        import tiktoken
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = t
-    return _tokenizers[path]
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+def _encode(texts: list[str], path: str) -> list[bytes]:
+    """The subword ids of each word, as packed integers; words come behind a blank.
+
+    One call encodes all words, parted by line ends, which the pattern keeps
+    apart; words with odd white space inside are encoded one by one.
+    """
+    e = _encoding(path)
+    joined = " " + "\n ".join(texts) + "\n"
+    if not texts or _ODD_SPACE.search(joined):
+        return [np.array(e.encode_ordinary(" " + t), np.uint32).tobytes() for t in texts]
+    ids = np.array(e.encode_ordinary(joined), np.uint32)
+    ends = np.flatnonzero(ids == e.encode_single_token("\n"))
+    packed, at, out = ids.tobytes(), 0, []
+    for end in ends.tolist():
+        out.append(packed[4 * at : 4 * end])
+        at = end + 1
+    return out
 
 
 def subwords(w: tk.Words, h: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first): the subwords of each document of a chunk, word by word."""
+    """(ids, first): the subwords of each document of a chunk, word by word.
+
+    Workers keep the lists of two generations of words: one that is filled, and
+    the one filled before, whose words move over when they are seen again.
+    """
     unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
     keys = unique.tolist()
-    new = [i for i, k in enumerate(keys) if k not in _cache]
-    if len(_cache) + len(new) > CACHE_SIZE:
-        _cache.clear()
-        new = list(range(len(keys)))
+    if len(_cache[0]) > CACHE_SIZE // 2:
+        _cache[1], _cache[0] = _cache[0], {}
+    young, old = _cache
+    new = []
+    for i, k in enumerate(keys):
+        if k not in young:
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(i)
     if new:
         raw = w.mapped.tobytes().replace(b"\xff", b"\0")
-        texts = [" " + raw[w.starts[j] : w.ends[j]].decode("utf-8") for j in where[new].tolist()]
-        t = _tokenizer(path)
-        for at in range(0, len(new), 4096):
-            some = t.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            _cache.update((keys[i], np.array(e.ids, np.uint32).tobytes()) for i, e in zip(new[at : at + 4096], some, strict=True))
-    lists = [_cache[k] for k in keys]
+        texts = [raw[s:e].decode("utf-8") for s, e in zip(w.starts[where[new]].tolist(), w.ends[where[new]].tolist(), strict=True)]
+        young.update(zip([keys[i] for i in new], _encode(texts, path), strict=True))
+    lists = [young[k] for k in keys]
     size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
     flat = np.frombuffer(b"".join(lists), np.uint32)
     begin = np.cumsum(size) - size
@@ -141,40 +172,36 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, vocabulary: attention.V
 
 
 def _cells(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The filled cells of a table, in slices."""
+    """The filled cells of a table, dealt to slices in turn."""
     at = np.flatnonzero(table)
+    order = np.argsort(at % _SLICES, kind="stable")
     cells = np.zeros(len(at), _CELL)
-    cells["at"], cells["n"] = at, table[at]
-    step = -(-len(table) // _SLICES)
-    edges = np.searchsorted(at, np.arange(_SLICES + 1) * step)
+    cells["at"], cells["n"] = at[order], table[at[order]]
+    edges = np.searchsorted(cells["at"] % _SLICES, np.arange(_SLICES + 1))
     for k in range(_SLICES):
         if edges[k + 1] > edges[k]:
             yield k, cells[edges[k] : edges[k + 1]].tobytes()
 
 
-def _reduce(batches: Iterator[pa.RecordBatch], table_size: int) -> Iterator[pa.RecordBatch]:
+def _reduce(batches: Iterator[pa.RecordBatch], table_size: int, n_blocks: int) -> Iterator[pa.RecordBatch]:
     """Blocks: count words, send documents the sums of theirs. Slices: add cells."""
-    step = -(-table_size // _SLICES)
     block, parts = None, []
-    sums: dict[tuple[int, int], list[float]] = {}
+    held: list[np.ndarray] = []
+    totals = [0, 0]
 
     def out(**k) -> pa.RecordBatch:
         n = len(next(iter(k.values())))
-        return pa.RecordBatch.from_arrays([k.get(f.name, pa.nulls(n, _ARROW.field(f.name).type)) for f in _PART], _PART.names)
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    totals = [0, 0]
+        return pa.RecordBatch.from_arrays([pa.array(k[f.name], f.type) if f.name in k else pa.nulls(n, f.type) for f in _ARROW], _ARROW.names)
 
     def done() -> Iterator[pa.RecordBatch]:
         if block < 0:
-            base = (-1 - block) * step
-            table = np.zeros(step, np.uint64)
+            table = np.zeros(table_size // _SLICES + 1, np.uint64)
             for _, c in parts:
-                table[c["at"] - base] += c["n"]
+                table[c["at"] // _SLICES] += c["n"]
             at = np.flatnonzero(table)
             cells = np.zeros(len(at), _CELL)
-            cells["at"], cells["n"] = at + base, table[at]
-            yield out(cells=pa.array([cells.tobytes()], pa.binary()))
+            cells["at"], cells["n"] = at * _SLICES + (-1 - block), table[at]
+            yield out(cells=[cells.tobytes()])
             return
         shift = np.cumsum([0, *[len(r) for r, _ in parts[:-1]]])
         rows = np.concatenate([r for r, _ in parts])
@@ -186,36 +213,67 @@ def _reduce(batches: Iterator[pa.RecordBatch], table_size: int) -> Iterator[pa.R
         c = np.bincount(group, rows["train"][row[order]])
         totals[0] += int((c > 0).sum())
         totals[1] += int(c.sum())
-        part = np.bincount(row[order], np.log10(c + 0.1)[group], len(rows))
-        known = np.bincount(row[order], (c > 0)[group], len(rows))
-        held.append((rows, part, known))
+        sums = np.zeros(len(rows), _SUM)
+        sums["id"], sums["key"] = rows["id"], rows["key"]
+        sums["part"] = np.bincount(row[order], np.log10(c + 0.1)[group], len(rows))
+        sums["known"] = np.bincount(row[order], (c > 0)[group], len(rows))
+        held.append(sums)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
-            rows = np.concatenate([x[0] for x in held])
-            part, known = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            order = np.lexsort((rows["key"], rows["id"]))
-            rows = rows[order]
-            first = np.flatnonzero(np.concatenate([[True], (rows["id"][1:] != rows["id"][:-1]) | (rows["key"][1:] != rows["key"][:-1])]))
+            sums = _added(held)
             held.clear()
-            yield out(id=pa.array(rows["id"][first]), key=pa.array(rows["key"][first]), part=pa.array(np.add.reduceat(part[order], first)), known=pa.array(np.add.reduceat(known[order], first).astype(np.int64)))
+            to = tk.bucket(tk.mix(sums["id"].view(np.uint64) ^ tk.mix(sums["key"].view(np.uint64))), n_blocks)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(n_blocks + 1))
+            some = np.flatnonzero(np.diff(edges))
+            yield out(block=some, sums=[sums[order[edges[k] : edges[k + 1]]].tobytes() for k in some])
 
     for batch in batches:
         for k, r, e in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             if k != block and parts:
                 yield from done()
                 parts = []
-                if sum(len(x[0]) for x in held) > 1 << 20:
+                if sum(map(len, held)) > 1 << 20:
                     yield from flush()
             block = k
             parts.append((np.frombuffer(r.as_buffer(), _ROW), np.frombuffer(e.as_buffer(), _CELL if k < 0 else _ENTRY)))
     if parts:
         yield from done()
     yield from flush()
-    yield out(words=pa.array([totals[0]], pa.int64()), total=pa.array([totals[1]], pa.int64()))
+    yield out(words=[totals[0]], total=[totals[1]])
+
+
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    """One entry for each (id, key), with the sums of its entries."""
+    sums = np.concatenate(parts)
+    sums = sums[np.lexsort((sums["key"], sums["id"]))]
+    first = np.flatnonzero(np.concatenate([[True], (sums["id"][1:] != sums["id"][:-1]) | (sums["key"][1:] != sums["key"][:-1])]))
+    out = sums[first]
+    out["part"], out["known"] = np.add.reduceat(sums["part"], first), np.add.reduceat(sums["known"], first)
+    return out
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each (id, key) of the packed sums, which come sorted by block."""
+    block, parts = None, []
+
+    def done() -> pa.RecordBatch:
+        s = _added(parts)
+        return pa.RecordBatch.from_arrays([pa.array(s[c].copy()) for c in _SUM.names], _SUM.names)
+
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if k != block and parts:
+                yield done()
+                parts = []
+            block = k
+            parts.append(np.frombuffer(x.as_buffer(), _SUM))
+    if parts:
+        yield done()
 
 
-_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("part", pa.float64()), ("known", pa.int64()), ("words", pa.int64()), ("total", pa.int64()), ("cells", pa.binary())])
+_ARROW = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("words", pa.int64()), ("total", pa.int64()), ("cells", pa.binary())])
 _SCORE = T.StructType([T.StructField(c, t) for c, t in (("id", T.LongType()), ("key", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("part", T.DoubleType()), ("score", T.DoubleType()))])
 
 
@@ -256,7 +314,7 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     base = need(docs, id_col, text_col).select(ident.alias("id"), F.xxhash64(text).alias("key"), train.alias("train"), text.alias("text"))
 
-    size = _tokenizer(path).get_vocab_size()
+    size = _encoding(path).n_vocab
     vocabulary, frequent, sample = _prepare(base, path, size)
     ends = base.where("train").count()
     sent = spark.sparkContext.broadcast((vocabulary, frequent))
@@ -264,7 +322,7 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     shape = [len(frequent.words), vocabulary.n_rows * attention.CLASSES, attention.CLASSES * (size + 1)]
     blobs = base.mapInArrow(lambda it: _count(it, path, *sent.value, n_blocks), _BLOB)
     dealt = blobs.repartition(n_parts(spark), "block").sortWithinPartitions("block")
-    parts = saved(dealt.mapInArrow(lambda it: _reduce(it, sum(shape)), _PART), "lm-parts")
+    parts = saved(dealt.mapInArrow(lambda it: _reduce(it, sum(shape), n_blocks), _PART), "lm-parts")
 
     table = np.zeros(sum(shape), np.int64)
     for cells in parts.where("cells is not null").select("cells").toArrow()["cells"]:
@@ -279,7 +337,8 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     distinct = int((listed > 0).sum()) + rare["words"] + (ends > 0)
     ready = spark.sparkContext.broadcast((model, frequent, listed, ends))
     scored = base.mapInArrow(lambda it: _score(it, path, *ready.value), _SCORE)
-    sums = parts.where("id is not null").groupBy("id", "key").agg(F.sum("part").alias("_part"), F.sum("known").alias("_known"), F.count("*").alias("_n"))
+    packed = parts.where("block is not null").select("block", "sums").repartition(n_parts(spark), "block").sortWithinPartitions("block")
+    sums = packed.mapInArrow(_gather, "id long, key long, part double, known long").withColumnsRenamed({"part": "_part", "known": "_known"})
     # Rows that repeat share one sum: each row's share is the sum over the number of them.
     repeats = base.groupBy("id", "key").count()
     sums = sums.join(repeats, ["id", "key"]).select("id", "key", (F.col("_part") / F.col("count")).alias("_part"), (F.col("_known") / F.col("count")).cast("long").alias("_known"))

@@ -46,7 +46,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
-    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), tokenizer_path(), held_out)
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), held_out)
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
