@@ -151,6 +151,7 @@ class Model:
         by_class = (by_class + 20 * all_classes) / (by_class.sum(1, keepdims=True) + 20)
         rows = (counts.follow + 20 * by_class[row_class]) / (counts.follow.sum(1, keepdims=True) + 20)
         m.table = np.log(rows).astype(np.float32)
+        m.table[:, members == 0] = -30  # nothing can follow as a class without members
         rng = np.random.default_rng(seed)
         draw = lambda *s, k=1.0: (rng.normal(0, k / np.sqrt(s[0] if len(s) > 1 else 1), s)).astype(np.float32)
         m.p = {

@@ -299,7 +299,7 @@ def test_op6(spark, docs, rows, empty):
         assert tuple(r[c] for c in quality_rules.COUNTS) == wanted
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.apply_rules(empty, labels).count() == 0
-    assert quality_rules.apply_rules(docs, labels.limit(0)).where("kept <> not base_failed").count() == 0
+    assert quality_rules.apply_rules(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
 def test_op6_trees_are_monotone():
@@ -324,7 +324,7 @@ def test_op7(spark, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
     held = F.col("doc_id") % 3 == 1
     got = {x["doc_id"]: x["score"] for x in quality_model.classify(docs, labels, ~held).collect()}
-    assert len(got) == 302 and all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
+    assert len(got) == 302 and all(0 <= s <= 1 for s in got.values()) and abs(got[900] - got[901]) < 1e-9
     test = [i for i in range(300) if i % 3 == 1]
     assert sum((got[i] >= 0.5) == bool(i % 2) for i in test) / len(test) > 0.95
     assert quality_model.classify(empty, labels).count() == 0
