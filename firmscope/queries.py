@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmscope.functions import exprs as X
-from firmscope.operators import device, diff, facts, ranges, report, rules
+from firmscope.operators import device, diff, facts, packages, ranges, report, rules, verified_boot
 from firmscope.operators import schema as S
 from firmscope.ship import ship
 
@@ -445,6 +445,98 @@ def q_hash_tree(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.hash_tree(o.select(F.col("o_orderkey").alias("index"), F.encode(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), "UTF-8").alias("data")), b"")
 
 
+def _packages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr(
+        "p_brand image", "concat('app/', p_partkey, '.apk') path", "concat('com.', p_partkey) package", "case when p_size % 4 <> 0 then p_size % 40 end target_sdk", "case when p_partkey % 13 = 0 then 'perm' end app_permission",
+        "element_at(array('activity', 'service', 'receiver', 'provider'), cast(p_partkey % 4 + 1 as int)) kind", "case p_size % 3 when 0 then true when 1 then false end exported", "p_size % 5 <> 0 enabled", "case when p_size % 7 = 0 then 'guard' end permission", "p_partkey % 2 = 0 has_filter", "p_partkey % 8 = 0 is_main",
+        "p_partkey % 11 = 0 debuggable", "case when p_partkey % 3 = 0 then p_partkey % 2 = 0 end cleartext", "p_partkey % 4 = 0 network_config", "case when p_partkey % 9 = 0 then 'shared' end shared_user", "p_partkey % 10 = 0 test_only", "p_partkey % 6 = 0 allow_backup",
+    )
+    one = F.struct("kind", F.lit("c").alias("name"), "exported", "enabled", "permission", "has_filter", "is_main")
+    return rows.withColumn("components", F.array(one))
+
+
+_PACKAGES = """pk AS (SELECT p_partkey, p_brand AS image, 'app/' || p_partkey || '.apk' AS path, 'com.' || p_partkey AS package, CASE WHEN p_size % 4 <> 0 THEN p_size % 40 END AS target_sdk, p_partkey % 13 = 0 AS app_perm,
+  ['activity', 'service', 'receiver', 'provider'][CAST(p_partkey % 4 + 1 AS INTEGER)] AS kind, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS exported, p_size % 5 <> 0 AS enabled, p_size % 7 = 0 AS guarded, p_partkey % 2 = 0 AS has_filter, p_partkey % 8 = 0 AS is_main,
+  p_partkey % 11 = 0 AS debuggable, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 = 0 END AS cleartext, p_partkey % 4 = 0 AS nsc, p_partkey % 9 = 0 AS shared, p_partkey % 10 = 0 AS test_only, p_partkey % 6 = 0 AS backup FROM part)"""
+
+
+@query(
+    f"""WITH {_PACKAGES}, s AS (SELECT image, 'exported-' || kind AS rule, package || '/c' AS label, CASE WHEN exported THEN CASE WHEN kind = 'provider' THEN 'high' ELSE 'medium' END
+  WHEN exported IS NULL THEN CASE WHEN kind = 'provider' AND target_sdk < 17 THEN 'medium' WHEN kind <> 'provider' AND has_filter AND (target_sdk IS NULL OR target_sdk < 31) THEN 'low' END END AS severity
+  FROM pk WHERE enabled AND NOT guarded AND NOT app_perm AND NOT (kind = 'activity' AND is_main)),
+g AS (SELECT image, rule, severity, count(*) AS n, list(label ORDER BY label) AS l FROM s WHERE severity IS NOT NULL GROUP BY image, rule, severity)
+SELECT image, rule, severity, n, array_to_string(l[1:5], ', ') || CASE WHEN n > 5 THEN ' and ' || (n - 5) || ' more' ELSE '' END AS shown FROM g"""
+)
+def q_apk_exported(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.exported_rollup(packages.exported_components(_packages(spark, sf)))
+
+
+@query(
+    f"""WITH {_PACKAGES} SELECT image, path, 'apk-debuggable' AS rule, 'high' AS severity FROM pk WHERE debuggable UNION ALL SELECT image, path, 'apk-cleartext', CASE WHEN nsc THEN 'low' ELSE 'medium' END FROM pk WHERE cleartext UNION ALL
+SELECT image, path, 'apk-shared-user', 'medium' FROM pk WHERE shared UNION ALL SELECT image, path, 'apk-test-only', 'medium' FROM pk WHERE test_only UNION ALL SELECT image, path, 'apk-allow-backup', 'info' FROM pk WHERE backup"""
+)
+def q_apk_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return packages.flag_issues(_packages(spark, sf))
+
+
+@query(
+    f"""WITH {_PROPS}, dbg AS (SELECT DISTINCT image FROM props WHERE key = 'ro.build.type' AND value IN ('userdebug', 'eng')),
+g AS (SELECT 'img' || (o_custkey % 7) AS image, 'app' || (o_custkey % 100) AS path, bool_or(o_orderkey % 5 <> 0) AS newer, bool_or(o_orderkey % 7 = 0) AS debug, bool_or(o_orderkey % 50 = 0) AS test, bool_or(o_orderkey % 9 = 0) AS expired, bool_or(o_orderkey % 80 = 1) AS early FROM orders GROUP BY 1, 2)
+SELECT image, path, 'v1-only' AS rule, 'medium' AS severity FROM g WHERE NOT newer UNION ALL SELECT image, path, 'debug-certificate', CASE WHEN image IN (SELECT image FROM dbg) THEN 'medium' ELSE 'high' END FROM g WHERE debug UNION ALL
+SELECT image, path, 'test-key-certificate', 'medium' FROM g WHERE test UNION ALL SELECT image, path, 'certificate-expired', 'medium' FROM g WHERE expired UNION ALL SELECT image, path, 'certificate-not-yet-valid', 'medium' FROM g WHERE early"""
+)
+def q_apk_signing(spark: SparkSession, sf: str) -> DataFrame:
+    signers = table(spark, sf, "orders").selectExpr("concat('img', o_custkey % 7) image", "concat('app', o_custkey % 100) path", "case when o_orderkey % 5 = 0 then 'v1' else 'v2' end scheme", "o_orderkey % 7 = 0 is_debug_cert", "o_orderkey % 50 = 0 is_test_key", "case when o_orderkey % 80 = 1 then 2000 else 0 end not_before", "case when o_orderkey % 9 = 0 then 500 else 3000 end not_after")
+    return packages.signing_issues(signers, props(spark, sf), F.lit(1000))
+
+
+@query(
+    """WITH v AS (SELECT 'vb' || s_suppkey AS image, s_suppkey % 8 AS flags, s_suppkey % 9 AS algorithm, s_suppkey % 2 = 0 AS is_footer FROM supplier)
+SELECT image, 'avb-hashtree-disabled' AS rule, 'high' AS severity FROM v WHERE flags & 1 <> 0 UNION ALL SELECT image, 'avb-verification-disabled', 'high' FROM v WHERE flags & 2 <> 0 UNION ALL SELECT image, 'avb-unknown-flag', 'high' FROM v WHERE flags & 4 <> 0 UNION ALL
+SELECT image, 'avb-unsigned', CASE WHEN is_footer THEN 'info' ELSE 'high' END FROM v WHERE algorithm = 0 UNION ALL SELECT image, 'avb-unsupported-algorithm', 'low' FROM v WHERE algorithm > 6"""
+)
+def q_avb_states(spark: SparkSession, sf: str) -> DataFrame:
+    return verified_boot.state_issues(table(spark, sf, "supplier").selectExpr("concat('vb', s_suppkey) image", "s_suppkey % 8 flags", "s_suppkey % 9 algorithm", "s_suppkey % 2 = 0 is_footer"))
+
+
+@query(
+    """WITH d AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'sha1' ELSE 'sha256' END AS a, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE sha256(c_name) END AS digest FROM customer), i AS (SELECT c_custkey AS k, sha256(c_name) AS sha FROM customer WHERE c_custkey % 3 <> 0)
+SELECT 'p' || d.k AS partition, CASE WHEN sha IS NULL THEN 'missing' WHEN a <> 'sha256' THEN 'unsupported' WHEN digest = sha THEN 'ok' ELSE 'mismatch' END AS state FROM d LEFT JOIN i USING (k)"""
+)
+def q_avb_image_digests(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    d = c.selectExpr("concat('p', c_custkey) partition", "case when c_custkey % 5 = 0 then 'sha1' else 'sha256' end algorithm", "case when c_custkey % 7 = 0 then 'x' else sha2(c_name, 256) end digest")
+    return verified_boot.image_digests(d, c.where("c_custkey % 3 <> 0").selectExpr("concat('p', c_custkey, '.img') name", "sha2(c_name, 256) sha256"))
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT 'p' || (o_orderkey % 500) || ['', '_a', '_b'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS image FROM orders), w AS (SELECT image, image AS p FROM i UNION SELECT image, regexp_replace(image, '_[ab]$', '') FROM i),
+d AS (SELECT c_custkey AS ord, 'p' || (c_custkey % 300) || CASE WHEN c_custkey % 4 = 0 THEN '_a' ELSE '' END AS p, CASE WHEN c_custkey % 2 = 0 THEN 'hash' ELSE 'chain' END AS kind FROM customer WHERE c_custkey % 5 <> 0)
+SELECT image, arg_min(kind, ord) AS covered_by FROM w LEFT JOIN d USING (p) GROUP BY image"""
+)
+def q_avb_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    images = table(spark, sf, "orders").selectExpr("concat('p', o_orderkey % 500, element_at(array('', '_a', '_b'), cast(o_orderkey % 3 + 1 as int)), '.img') name").distinct()
+    d = table(spark, sf, "customer").where("c_custkey % 5 <> 0").selectExpr("c_custkey ord", "concat('p', c_custkey % 300, case when c_custkey % 4 = 0 then '_a' else '' end) partition", "case when c_custkey % 2 = 0 then 'hash' else 'chain' end kind")
+    return verified_boot.coverage(images, d)
+
+
+@query("SELECT 'p' || s_suppkey AS partition, c_custkey % 40 AS rollback_index, s_suppkey % 40 AS wanted FROM supplier JOIN customer ON c_custkey = s_suppkey * 3 WHERE c_custkey % 40 < s_suppkey % 40")
+def q_avb_rollback(spark: SparkSession, sf: str) -> DataFrame:
+    top = table(spark, sf, "supplier").selectExpr("concat('p', s_suppkey) partition", "s_suppkey % 40 rollback_index")
+    chained = table(spark, sf, "customer").where("c_custkey % 3 = 0").selectExpr("concat('p', c_custkey div 3) partition", "c_custkey % 40 rollback_index")
+    return verified_boot.rollback_regressions(top, chained)
+
+
+@query(
+    """WITH c AS (SELECT s_suppkey AS k, s_suppkey % 10 AS a, s_suppkey % 6 AS b, ['sha256WithRSA', 'MD5withRSA', 'SHA1withRSA'][CAST(s_suppkey % 3 + 1 AS INTEGER)] AS alg, CASE WHEN s_suppkey % 4 = 0 THEN 'EC' ELSE 'RSA' END AS key, 1024 * (s_suppkey % 3 + 1) AS bits FROM supplier)
+SELECT 'c' || k AS path, 'expired' AS concern FROM c WHERE a < 3 UNION ALL SELECT 'c' || k, 'not yet valid' FROM c WHERE b > 3 UNION ALL SELECT 'c' || k, 'signed with md5' FROM c WHERE contains(lower(alg), 'md5') UNION ALL
+SELECT 'c' || k, 'signed with sha1' FROM c WHERE contains(lower(alg), 'sha1') UNION ALL SELECT 'c' || k, 'short key' FROM c WHERE key = 'RSA' AND bits < 2048"""
+)
+def q_certificate_concerns(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "supplier").selectExpr("concat('c', s_suppkey) path", "s_suppkey % 6 not_before", "s_suppkey % 10 not_after", "element_at(array('sha256WithRSA', 'MD5withRSA', 'SHA1withRSA'), cast(s_suppkey % 3 + 1 as int)) signature_algorithm", "case when s_suppkey % 4 = 0 then 'EC' else 'RSA' end key_algorithm", "1024 * (s_suppkey % 3 + 1) key_bits")
+    return verified_boot.certificate_concerns(c, F.lit(3))
+
+
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
