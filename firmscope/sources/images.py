@@ -447,7 +447,7 @@ def read(files: DataFrame, reader: str, path: str = "path", content: str = "cont
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     rows, error = [json.dumps(r) for r in parse(data.as_py() or b"")], None
-                except (Refused, ValueError, struct.error, IndexError, EOFError, lzma.LZMAError, zlib.error, OSError) as x:
+                except (Refused, ValueError, struct.error, IndexError, EOFError, StopIteration, lzma.LZMAError, zlib.error, OSError) as x:
                     rows, error = [None], f"{type(x).__name__}: {x}"
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.string()), pa.array([error] * len(rows), pa.string())], ["path", "row", "error"])
 

@@ -139,3 +139,25 @@ def test_fdt_and_boot():
     boot = b"ANDROID!" + struct.pack("<8I", 10, 0, 20, 0, 0, 0, 0, 2048) + struct.pack("<I", 0)
     boot = boot.ljust(2048, b"\0") + b"k" * 10 + bytes(2038) + b"r" * 20
     assert [(s["name"], s["offset"], s["size"]) for s in images.boot_sections(boot)] == [("kernel", 2048, 10), ("ramdisk", 4096, 20)]
+
+
+def test_x509(tmp_path):
+    import datetime
+    import shutil
+    import subprocess
+
+    from firmscope.sources import x509
+
+    openssl = shutil.which("openssl")
+    if not openssl:
+        pytest.skip("openssl is not here")
+    out = tmp_path / "c.pem"
+    subprocess.run([openssl, "req", "-x509", "-newkey", "rsa:1024", "-nodes", "-sha1", "-days", "30", "-subj", "/C=US/O=Android/CN=Android Debug", "-keyout", str(tmp_path / "k"), "-out", str(out)], check=True, capture_output=True)
+    c = x509.certificate(out.read_bytes())
+    assert (c["subject"], c["subject_cn"], c["is_debug_cert"], c["key_algorithm"], c["key_bits"], c["signature_algorithm"]) == ("C=US, O=Android, CN=Android Debug", "Android Debug", True, "rsa", 1024, "sha1WithRSAEncryption")
+    assert c["not_after"] - c["not_before"] == 30 * 86400 and abs(c["not_before"] - datetime.datetime.now().timestamp()) < 86400
+    der = subprocess.run([openssl, "x509", "-in", str(out), "-outform", "DER"], check=True, capture_output=True).stdout
+    assert x509.certificate(der) == c
+    for n in range(0, len(der) - 1, 11):
+        with pytest.raises((images.Refused, ValueError, StopIteration, IndexError)):
+            x509.certificate(der[:n])
