@@ -28,7 +28,7 @@ from firmscope.llm.token_counts import PATTERN
 #: Documents that are drawn for the sample (by a hash of the id), and the tokens
 #: of it that the attention weights are trained on at most.
 SAMPLE_DOCS, TRAIN_TOKENS = 4000, 1_200_000
-#: Bytes of one sampled text that count towards the sample.
+#: Longest text, in bytes, that is drawn for the sample.
 SAMPLE_BYTES = 1 << 16
 #: Words counted in the map tasks.
 FREQUENT = 1 << 15
@@ -373,8 +373,8 @@ def _prepare(base: DataFrame, path: str, size: int):
     """Subword classes, frequent words and the training sample, from a bounded draw."""
     n = max(base.where("train").count(), 1)
     share = min(1 << 20, -(-(1 << 20) * SAMPLE_DOCS // n))
-    drawn = base.where("train").where(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(1 << 20)) < share)
-    texts = drawn.select("id", "key", F.substring("text", 1, SAMPLE_BYTES // 4).alias("text")).toArrow().sort_by([("id", "ascending"), ("key", "ascending")])["text"].combine_chunks()
+    drawn = base.where("train").where(F.octet_length("text") <= SAMPLE_BYTES).where(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(1 << 20)) < share)
+    texts = drawn.select("id", "key", "text").toArrow().sort_by([("id", "ascending"), ("key", "ascending")])["text"].combine_chunks()
     ids, hashes, first = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for _, _, data, offsets in tk.chunks(texts, _CHUNK):
         w = tk.words(data, offsets, tk.LOWER)
