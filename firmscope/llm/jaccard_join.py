@@ -249,7 +249,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("demand", T.IntegerType())])
 _COLUMNS = ("token", "node", "n", "level", "at", "live", "root")
 
 
@@ -293,16 +292,18 @@ def _hub_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         found.append(np.stack([t["node"][hub[ok]], t["node"][rest[ok]]], 1))
         size += len(found[-1])
         if size > 1 << 18:
-            yield _pairs(found, [])
+            yield _pairs(found)
             found, size = [], 0
-    yield _pairs(found, [])
+    yield _pairs(found)
+
+
+_NEIGHBOURS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("demand", T.ArrayType(T.IntegerType()))])
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with the number of lists they met in and the
-    number they have to meet in."""
-    found: list[np.ndarray] = []
-    demands: list[np.ndarray] = []
+    """Partners in other components, one row for each node and task, with the number of
+    lists that the two met in and the number they have to meet in."""
+    found = [np.zeros((0, 4), np.int64)]
     size = 0
     for t in _lists(batches):
         root = t["root"]
@@ -323,24 +324,60 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             demand = np.minimum(t["level"][i], t["level"][j])
             ok = (t["root"][i] != t["root"][j]) & _can_link(n, t["live"], t["at"], i, j, percent, demand)
             x, y = t["node"][i[ok]], t["node"][j[ok]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-            demands.append(demand[ok])
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64), demand[ok]], 1))
             size += len(x)
             at = to
-            if size > 1 << 18:
-                yield _pairs(found, demands)
-                found, demands, size = [], [], 0
-    yield _pairs(found, demands)
+            if size > 1 << 20:
+                met = _met(found)
+                found, size = [met], len(met)
+                if size > 1 << 19:
+                    yield _neighbours(met)
+                    found, size = [np.zeros((0, 4), np.int64)], 0
+    yield _neighbours(_met(found))
+
+
+def _met(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, times, demand) by pair, with the times added up."""
+    p = np.concatenate(parts)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(1)])) if len(p) else np.zeros(0, np.int64)
+    out = p[new]
+    if len(p):
+        out[:, 2] = np.add.reduceat(p[:, 2], new)
+    return out
+
+
+def _neighbours(p: np.ndarray) -> pa.RecordBatch:
+    new = np.flatnonzero(np.concatenate([[True], p[1:, 0] != p[:-1, 0]])) if len(p) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate([new, [len(p)]]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(p[:, k], kind)) for k, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.array(p[new, 0]), *lists], _NEIGHBOURS.names)
+
+
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that met in as many lists as they have to, from neighbour rows
+    sorted by node."""
+    held: list[np.ndarray] = []
+
+    def done(p: np.ndarray) -> pa.RecordBatch:
+        p = p[p[:, 2] >= p[:, 3]]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], _LINK.names)
+
+    for b in batches:
+        n = np.diff(b.column(1).offsets.to_numpy())
+        held.append(np.stack([np.repeat(b.column(0).to_numpy(), n), *[b.column(k).flatten().to_numpy().astype(np.int64) for k in (1, 2, 3)]], 1))
+        if sum(map(len, held)) > 1 << 20:
+            met = _met(held)
+            open_ = met[:, 0] == met[-1, 0]
+            yield done(met[~open_])
+            held = [met[open_]]
+    if held:
+        yield done(_met(held))
 
 
-def _pairs(found: list[np.ndarray], demands: list[np.ndarray]) -> pa.RecordBatch:
-    p = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    d = np.concatenate([np.zeros(0, np.int64), *demands]) if demands else np.ones(len(p), np.int64)
-    order = np.lexsort((p[:, 1], p[:, 0]))
-    p, d = p[order], d[order]
-    new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(1)])) if len(p) else np.zeros(0, np.int64)
-    times = np.diff(np.concatenate([new, [len(p)]]))
-    return pa.RecordBatch.from_arrays([pa.array(p[new, 0]), pa.array(p[new, 1]), pa.array(times.astype(np.int32)), pa.array(d[new].astype(np.int32))], _PAIR.names)
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], _LINK.names)
 
 
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -406,12 +443,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def lists(entries: DataFrame) -> DataFrame:
         return entries.select(*_COLUMNS).repartition(n_parts(spark), "token").sortWithinPartitions("token")
 
-    hubs = lists(index.withColumn("root", F.col("node"))).mapInArrow(lambda it: _hub_pairs(it, percent), _PAIR)
+    hubs = lists(index.withColumn("root", F.col("node"))).mapInArrow(lambda it: _hub_pairs(it, percent), _LINK)
     links = saved(verified(hubs.select("a", "b").distinct()), "jaccard-links")
     roots = connected_components(links)
     rooted = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    cross = lists(rooted).mapInArrow(lambda it: _cross_pairs(it, percent), _PAIR)
-    cross = cross.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("demand").alias("demand")).where("times >= demand")
+    cross = lists(rooted).mapInArrow(lambda it: _cross_pairs(it, percent), _NEIGHBOURS)
+    cross = cross.repartition(n_parts(spark), "a").sortWithinPartitions("a").mapInArrow(_enough, _LINK)
     roots = connected_components(links.unionByName(verified(cross)))
 
     classes = rows.where(F.col("node") != 0).groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("size"))
