@@ -15,8 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-WIDTH = 32  # of a context window
-STRIDE = 28  # tokens that each window but the first scores
+WIDTH = 24  # of a context window
+STRIDE = 21  # tokens that each window but the first scores
 DIM = 32
 CLASSES = 128
 #: Subwords with an embedding and a follower row of their own; others share their class's.
