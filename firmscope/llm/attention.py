@@ -3,7 +3,7 @@
 The next subword is predicted in two factors: its class given the context, and
 the subword given its class. Class logits are the sum of a table of what follows
 the last subword (counted over the whole training corpus) and of a causal
-attention layer over the window (trained by Adam on a bounded sample). The
+attention layer over the window (trained by Adam over the whole training corpus). The
 subword's share of its class, given the last subword's class, is counted over
 the whole training corpus too. Both factors add up to one, so texts get proper
 probabilities.
@@ -39,45 +39,76 @@ class Vocabulary:
         return ROWS + CLASSES
 
 
-def build_vocabulary(ids: np.ndarray, size: int, seed: int = 5) -> Vocabulary:
-    """Classes from a sample of texts (ids with ``size`` between texts): the most
-    frequent subwords are classes of their own, the others are clustered by what
-    stands before them; what is too rare to tell is the last class."""
-    count = np.bincount(ids, minlength=size + 1)
-    order = np.argsort(-count, kind="stable")
-    alone = min(CLASSES // 2, size + 1)
-    class_of = np.full(size + 1, CLASSES - 1)
-    class_of[order[:alone]] = np.arange(alone)
-    if not len(np.flatnonzero(class_of == class_of[size])) == 1:
-        class_of[size] = alone - 1  # the end keeps a class of its own
-        class_of[order[alone - 1]] = CLASSES - 1
-    middle = order[alone - 1 :]
-    middle = middle[(count[middle] >= 8) & (class_of[middle] == CLASSES - 1)]
-    n = CLASSES - alone - 1
-    if len(middle) > n:
-        before = np.full(size + 1, 255)
-        before[order[:255]] = np.arange(len(order[:255]))
-        place = np.full(size + 1, -1)
-        place[middle] = np.arange(len(middle))
-        at = place[ids[1:]]
+@dataclass
+class Contexts:
+    """What classes are made from: how often each subword occurs, and what stands
+    before those that are to be clustered. Ids have ``size`` between texts."""
+
+    count: np.ndarray
+    order: np.ndarray
+    class_of: np.ndarray
+    middle: np.ndarray
+    alone: int
+
+    @staticmethod
+    def of(count: np.ndarray) -> Contexts:
+        """The most frequent subwords are classes of their own, what is too rare to
+        tell is the last class; the others (``middle``) are to be clustered."""
+        size = len(count) - 1
+        order = np.argsort(-count, kind="stable")
+        alone = min(CLASSES // 2, size + 1)
+        class_of = np.full(size + 1, CLASSES - 1)
+        class_of[order[:alone]] = np.arange(alone)
+        if not len(np.flatnonzero(class_of == class_of[size])) == 1:
+            class_of[size] = alone - 1  # the end keeps a class of its own
+            class_of[order[alone - 1]] = CLASSES - 1
+        middle = order[alone - 1 :]
+        middle = middle[(count[middle] >= 8) & (class_of[middle] == CLASSES - 1)]
+        return Contexts(count, order, class_of, middle, alone)
+
+    def empty(self) -> np.ndarray:
+        return np.zeros(len(self.middle) * 256, np.int32)
+
+    def add(self, table: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """Count the subwords y after the subwords x."""
+        before = np.full(len(self.count), 255)
+        before[self.order[:255]] = np.arange(len(self.order[:255]))
+        place = np.full(len(self.count), -1)
+        place[self.middle] = np.arange(len(self.middle))
+        at = place[y]
         some = at >= 0
-        table = np.bincount(at[some] * 256 + before[ids[:-1][some]], minlength=len(middle) * 256).reshape(-1, 256).astype(np.float64)
-        x = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
-        rng = np.random.default_rng(seed)
-        centre = x[rng.choice(len(x), n, replace=False)]
-        weight = count[middle].astype(np.float64)
-        for _ in range(12):
-            near = np.argmax(x @ centre.T - (centre**2).sum(1) / 2, 1)
-            mass = np.bincount(near, weight, n)
-            for d in range(256):
-                centre[:, d] = np.where(mass > 0, np.bincount(near, weight * x[:, d], n) / np.maximum(mass, 1e-9), centre[:, d])
-        class_of[middle] = alone + near
-    row_of = ROWS + class_of
-    own = order[: ROWS - 1]
-    own = own[(count[own] >= 4) & (own != size)]
-    row_of[own] = np.arange(len(own))
-    row_of[size] = ROWS - 1
-    return Vocabulary(size, row_of, class_of)
+        np.add.at(table, at[some] * 256 + before[x[some]], 1)
+
+    def vocabulary(self, table: np.ndarray, seed: int = 5) -> Vocabulary:
+        size, middle, class_of = len(self.count) - 1, self.middle, self.class_of.copy()
+        n = CLASSES - self.alone - 1
+        if len(middle) > n:
+            x = table.reshape(-1, 256).astype(np.float32)
+            x /= np.maximum(x.sum(1, keepdims=True), 1)
+            np.sqrt(x, out=x)
+            rng = np.random.default_rng(seed)
+            centre = x[rng.choice(len(x), n, replace=False)]
+            weight = self.count[middle].astype(np.float64)
+            for _ in range(12):
+                near = np.argmax(x @ centre.T - (centre**2).sum(1) / 2, 1)
+                mass = np.bincount(near, weight, n)
+                for d in range(256):
+                    centre[:, d] = np.where(mass > 0, np.bincount(near, weight * x[:, d], n) / np.maximum(mass, 1e-9), centre[:, d])
+            class_of[middle] = self.alone + near
+        row_of = ROWS + class_of
+        own = self.order[: ROWS - 1]
+        own = own[(self.count[own] >= 4) & (own != size)]
+        row_of[own] = np.arange(len(own))
+        row_of[size] = ROWS - 1
+        return Vocabulary(size, row_of, class_of)
+
+
+def build_vocabulary(ids: np.ndarray, size: int, seed: int = 5) -> Vocabulary:
+    """Classes and rows from texts that fit one array (ids with ``size`` between texts)."""
+    c = Contexts.of(np.bincount(ids, minlength=size + 1))
+    table = c.empty()
+    c.add(table, ids[:-1], ids[1:])
+    return c.vocabulary(table, seed)
 
 
 @dataclass
@@ -124,6 +155,28 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 
+@dataclass
+class Adam:
+    """Running moments of the gradients."""
+
+    moment: dict[str, tuple[np.ndarray, np.ndarray]]
+    step: int = 0
+
+    @staticmethod
+    def start(p: dict[str, np.ndarray]) -> Adam:
+        return Adam({k: (np.zeros_like(w), np.zeros_like(w)) for k, w in p.items()})
+
+    def update(self, p: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        for k, g in grads.items():
+            m, s = self.moment[k]
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            s += 0.01 * g * g
+            p[k] -= (rate / (1 - 0.9**self.step)) * m / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-8)
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -225,13 +278,14 @@ class Model:
             out += np.bincount(np.repeat(t, keep.sum(1)), score, len(out))
         return out
 
-    def train(self, x: np.ndarray, y: np.ndarray, offsets: np.ndarray, epochs: int = 1, rate: float = 3e-3, batch: int = 64, seed: int = 11) -> None:
-        """One pass or more of Adam over the windows of a sample, in random order."""
+    def train(self, x: np.ndarray, y: np.ndarray, offsets: np.ndarray, epochs: int = 1, rate: float = 3e-3, batch: int = 64, seed: int = 11, adam: Adam | None = None) -> None:
+        """One pass or more of Adam over the windows of texts, in random order. Calls
+        that hand on ``adam`` are parts of one run, whose rate does not decay."""
         self.looked = None
         text, begin, skip = windows(offsets)
         rng, reach = np.random.default_rng(seed), np.arange(WIDTH)
-        moment = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in self.p.items()}
-        total, step = epochs * -(-len(text) // batch), 0
+        total, decays = epochs * -(-len(text) // batch), adam is None
+        adam = adam or Adam.start(self.p)
         for _ in range(epochs):
             order = rng.permutation(len(text))
             for at in range(0, len(order), batch):
@@ -242,15 +296,8 @@ class Model:
                 keep = valid & (reach >= skip[i][:, None])
                 rows = self.vocabulary.row_of[x[where]]
                 grads = self._gradients(rows, valid, keep, self.vocabulary.class_of[y[where[keep]]])
-                step += 1
-                now = rate * min(1, step / 50) * (1 - step / (total + 1))
-                for k, g in grads.items():
-                    m, s = moment[k]
-                    m *= 0.9
-                    m += 0.1 * g
-                    s *= 0.99
-                    s += 0.01 * g * g
-                    self.p[k] -= (now / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+                step = adam.step + 1
+                adam.update(self.p, grads, rate * min(1, step / 50) * (1 - step / (total + 1) if decays else 1))
 
     def _gradients(self, rows, valid, keep, target):
         p = self.p

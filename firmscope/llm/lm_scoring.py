@@ -1,22 +1,27 @@
 """LM scoring: a count model over words, and causal self-attention over subwords.
 
 Everything counted covers all training documents: word counts for the base
-score, and the subword tables of ``attention``. Frequent words are counted in
-the map tasks in a table of fixed size; the others travel once, as packed
-hashes, to the block that counts them, and send their documents partial sums.
-Only the attention weights are fitted on a bounded sample.
+score, and the subword classes, rows and tables of ``attention``. Frequent words
+are counted in the map tasks in a table of fixed size; the others travel once, as
+packed hashes, to the block that counts them, and send their documents partial
+sums. The attention weights learn from every window of every training document,
+once: in rounds that double, each task trains on its own documents, and the
+weights are averaged between rounds.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +30,11 @@ from firmscope.llm import textkernel as tk
 from firmscope.llm.shared import n_parts, need, saved
 from firmscope.llm.token_counts import PATTERN
 
-#: Documents that are drawn for the sample (by a hash of the id), and the tokens
-#: of it that the attention weights are trained on at most.
-SAMPLE_DOCS, TRAIN_TOKENS = 4000, 1_200_000
-#: Longest text, in bytes, that is drawn for the sample.
-SAMPLE_BYTES = 1 << 16
+#: Documents (by a hash of the id) whose words are candidates for FREQUENT. This
+#: only decides where a word is counted, not what is counted.
+SAMPLE_DOCS = 4000
+#: Training rounds; the first two take 2 ** -(ROUNDS - 1) of the documents each.
+ROUNDS, RATE, BATCH = 7, 3e-3, 256
 #: Words counted in the map tasks.
 FREQUENT = 1 << 15
 #: Subword lists that a worker keeps at most.
@@ -40,6 +45,7 @@ _BLOCKS, _SLICES = 4, 64
 _ROW = np.dtype([("id", "<i8"), ("key", "<i8"), ("train", "u1")])
 _ENTRY = np.dtype([("word", "<u8"), ("row", "<u4")])
 _CELL = np.dtype([("at", "<u4"), ("n", "<u8")])
+_WORD = np.dtype([("word", "<u8"), ("n", "<i8")])
 _BLOB = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("entries", T.BinaryType())])
 _PART = "block int, sums binary, words long, total long, cells binary"
 _SUM = np.dtype([("id", "<i8"), ("key", "<i8"), ("part", "<f8"), ("known", "<i8")])
@@ -315,7 +321,7 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     base = need(docs, id_col, text_col).select(ident.alias("id"), F.xxhash64(text).alias("key"), train.alias("train"), text.alias("text"))
 
     size = _encoding(path).n_vocab
-    vocabulary, frequent, sample = _prepare(base, path, size)
+    vocabulary, frequent = _vocabulary(base, path, size), _frequent(base)
     ends = base.where("train").count()
     sent = spark.sparkContext.broadcast((vocabulary, frequent))
     n_blocks = _BLOCKS * n_parts(spark)
@@ -330,8 +336,7 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
         table[c["at"]] = c["n"]
     listed, follow, pair = np.split(table, np.cumsum(shape)[:-1])
     model = attention.Model.start(vocabulary, attention.Counts(pair.reshape(attention.CLASSES, -1), follow.reshape(-1, attention.CLASSES)))
-    if len(sample[0]):
-        model.p = _trained(spark, model, sample)
+    model.p, _ = _trained(base, path, model)
     rare = parts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
     total = int(listed.sum()) + rare["total"] + ends
     distinct = int((listed > 0).sum()) + rare["words"] + (ends > 0)
@@ -355,40 +360,123 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     )
 
 
-def _trained(spark: SparkSession, model: attention.Model, sample: tuple) -> dict[str, np.ndarray]:
-    """Train in one task: executors run numpy on one thread and can be replaced."""
-    sent = spark.sparkContext.broadcast((model, sample))
+def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The subwords of texts, as (ids, first), in pieces of bounded size."""
+    for b in batches:
+        for _, _, data, offsets in tk.chunks(b.column(0), _CHUNK):
+            w = tk.words(data, offsets, tk.LOWER)
+            yield subwords(w, w.hashes(), path)
+
+
+def _round(batches: Iterator[pa.RecordBatch], path: str, model: attention.Model, rate: float, groups: int) -> Iterator[pa.RecordBatch]:
+    """Train a copy of the model on a task's texts."""
+    model = replace(model, p={k: w.copy() for k, w in model.p.items()})
+    adam, n = attention.Adam.start(model.p), 0
+    for ids, first in _texts(batches, path):
+        x, y, offsets = attention.sequences(model.vocabulary, ids, first)
+        model.train(x, y, offsets, rate=rate, batch=BATCH, adam=adam)
+        n += len(x)
+    if n:
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([task % groups], pa.int32()), pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(model.p)], pa.binary())], _WEIGHTS.names)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a group: the mean of its weights by tokens, in the order of tasks."""
+    group, parts = None, []
+
+    def done() -> pa.RecordBatch:
+        n, p = _mean(parts)
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(p)], pa.binary())], _WEIGHTS.names)
+
+    for b in batches:
+        for k, n, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            if k != group and parts:
+                yield done()
+                parts = []
+            group = k
+            parts = [_mean([*parts, (n, pickle.loads(w.as_buffer()))])]
+    if parts:
+        yield done()
+
+
+def _mean(parts: list[tuple[int, dict[str, np.ndarray]]]) -> tuple[int, dict[str, np.ndarray]]:
+    total = sum(n for n, _ in parts)
+    return total, {k: sum(p[k] * (n / total) for n, p in parts) for k in parts[0][1]}
+
+
+_WEIGHTS = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("task", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
+
+
+def _trained(base: DataFrame, path: str, model: attention.Model) -> tuple[dict[str, np.ndarray], int]:
+    """(weights, tokens): one pass over all training texts, in rounds of doubling size."""
+    spark = base.sparkSession
+    groups, tokens = math.isqrt(n_parts(spark)) + 1, 0
+    draw = F.pmod(F.xxhash64(F.lit("round"), "id", "key"), F.lit(1 << (ROUNDS - 1)))
+    for k in range(ROUNDS):
+        least, end = (1 << k) >> 1, 1 << k
+        texts = base.where("train").where((draw >= least) & (draw < end)).select("text")
+        sent = spark.sparkContext.broadcast(replace(model, share=None))
+        rate = RATE * 0.75**k
+        rows = texts.mapInArrow(lambda it, sent=sent, rate=rate: _round(it, path, sent.value, rate, groups), _WEIGHTS)
+        means = rows.repartition(groups, "group").sortWithinPartitions("group", "task").mapInArrow(_averaged, _WEIGHTS)
+        parts = [(r["n"], pickle.loads(r["weights"])) for r in sorted(means.collect(), key=lambda r: r["group"])]
+        sent.unpersist()
+        if parts:
+            n, p = _mean(parts)
+            model = replace(model, p={k: w.astype(np.float32) for k, w in p.items()}, looked=None)
+            tokens += n
+    return model.p, tokens
+
+
+def _table(base: DataFrame, path: str, vocabulary: attention.Vocabulary, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """A table that all training texts add to, with the subwords x before the subwords y."""
+    spark, size = base.sparkSession, len(start())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                model, sample = sent.value
-                model.train(*sample)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.p)], pa.binary())], ["weights"])
+        table = start()
+        for ids, first in _texts(batches, path):
+            x, y, _ = attention.sequences(vocabulary, ids, first)
+            add(table, x, y)
+        for k, c in _cells(table):
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - k], pa.int32()), pa.array([b""], pa.binary()), pa.array([c], pa.binary())], _BLOB.names)
+
+    dealt = base.where("train").select("text").mapInArrow(run, _BLOB).repartition(n_parts(spark), "block").sortWithinPartitions("block")
+    table = np.zeros(size, np.int64 if size < 1 << 20 else np.uint32)
+    for cells in dealt.mapInArrow(lambda it: _reduce(it, size, 1), _PART).where("cells is not null").select("cells").toArrow()["cells"]:
+        c = np.frombuffer(cells.as_buffer(), _CELL)
+        table[c["at"]] = c["n"]
+    return table
+
+
+def _vocabulary(base: DataFrame, path: str, size: int) -> attention.Vocabulary:
+    """Subword classes and rows, from counts over all training texts."""
+    blank = attention.Vocabulary(size, np.zeros(0), np.zeros(0))
+
+    def add(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        table += np.bincount(y, minlength=size + 1)
 
-    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "weights binary").first()["weights"])
+    contexts = attention.Contexts.of(_table(base, path, blank, lambda: np.zeros(size + 1, np.int64), add))
+    return contexts.vocabulary(_table(base, path, blank, contexts.empty, contexts.add))
 
 
-def _prepare(base: DataFrame, path: str, size: int):
-    """Subword classes, frequent words and the training sample, from a bounded draw."""
+def _frequent(base: DataFrame) -> FrequentWords:
+    """Words to be counted in the map tasks, from documents drawn by a hash."""
     n = max(base.where("train").count(), 1)
     share = min(1 << 20, -(-(1 << 20) * SAMPLE_DOCS // n))
-    drawn = base.where("train").where(F.octet_length("text") <= SAMPLE_BYTES).where(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(1 << 20)) < share)
-    texts = drawn.select("id", "key", "text").toArrow().sort_by([("id", "ascending"), ("key", "ascending")])["text"].combine_chunks()
-    ids, hashes, first = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for _, _, data, offsets in tk.chunks(texts, _CHUNK):
-        w = tk.words(data, offsets, tk.LOWER)
-        h = w.hashes()
-        i, f = subwords(w, h, path)
-        first.append(f[1:] + sum(map(len, ids)))
-        ids.append(i)
-        hashes.append(h)
-    ids, first = np.concatenate(ids), np.concatenate(first)
-    x, y, offsets = attention.sequences(attention.Vocabulary(size, np.zeros(0), np.zeros(0)), ids, first)
-    vocabulary = attention.build_vocabulary(y, size)
-    word, count = np.unique(np.concatenate(hashes), return_counts=True)
+    drawn = base.where("train").where(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(1 << 20)) < share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in tk.chunks(b.column(0), _CHUNK):
+                word, count = np.unique(tk.words(data, offsets, tk.LOWER).hashes(), return_counts=True)
+                out = np.zeros(len(word), _WORD)
+                out["word"], out["n"] = word, count
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["words"])
+
+    parts = [np.frombuffer(w.as_buffer(), _WORD) for w in drawn.select("text").mapInArrow(run, "words binary").toArrow()["words"]]
+    all_words = np.concatenate([np.zeros(0, _WORD), *parts])
+    word, inverse = np.unique(all_words["word"], return_inverse=True)
+    count = np.bincount(inverse, all_words["n"], len(word))
     often = np.argsort(-count, kind="stable")[:FREQUENT]
-    often = often[count[often] >= 2]
-    until = int(np.searchsorted(offsets, TRAIN_TOKENS, "right")) - 1
-    cut = offsets[: until + 1]
-    return vocabulary, FrequentWords(word[often]), ((x[: cut[-1]], y[: cut[-1]], cut) if until > 0 else (x[:0], y[:0], offsets[:1]))
+    return FrequentWords(word[often[count[often] >= 2]])

@@ -176,6 +176,25 @@ def test_op3(docs, rows, empty):
     assert lm_scoring.score_texts(empty, path, held).count() == 0
 
 
+def test_op3_learns_from_all_training_texts(spark):
+    """Classes, rows and weights take every text in, also one over 64 KB; held-out ones stay out."""
+    from firmscope.llm.queries import tokenizer_path
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    e, size = lm_scoring._encoding(path), lm_scoring._encoding(path).n_vocab
+    texts = [(k, f"the cat {k} sat", True) for k in range(60)] + [(99, "zebra " * 20_000, True), (100, "violin " * 50, False)]
+    base = spark.createDataFrame(texts, "id long, text string, train boolean").withColumn("key", F.xxhash64("text")).repartition(3)
+    v = lm_scoring._vocabulary(base, path, size)
+    own = lambda word: all(v.row_of[i] < attention.ROWS - 1 for i in e.encode_ordinary(" " + word))
+    assert own("zebra") and own("cat") and not own("violin")
+    m = attention.Model.start(v, attention.Counts.empty(v))
+    before = {k: w.copy() for k, w in m.p.items()}
+    p, tokens = lm_scoring._trained(base, path, m)
+    wanted = sum(len(e.encode_ordinary(" " + w)) for _, t, train in texts if train for w in t.split()) + 61
+    assert tokens == wanted
+    assert all(np.isfinite(w).all() and (w != before[k]).any() for k, w in p.items())
+
+
 def test_attention_is_a_distribution():
     """Causal, the fast path equals the plain one, and next-token probabilities add up to 1."""
     rng = np.random.default_rng(0)
