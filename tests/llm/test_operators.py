@@ -227,6 +227,18 @@ def test_attention_is_a_distribution():
     assert abs(total / np.exp(prefix) - 1) < 1e-3
 
 
+def test_attention_reaches_back():
+    """Every position but a text's first ones sees at least seven subwords, and the feed-forward layer learns."""
+    _, begin, skip = attention.windows(np.array([0, 500]))
+    assert min(skip[1:]) + 1 >= 7 and attention.WIDTH == 32 and attention.STRIDE == 26
+    ids = np.random.default_rng(1).integers(0, 40, 2000)
+    v = attention.build_vocabulary(np.append(ids, 50), 50)
+    m = attention.Model.start(v, attention.Counts.empty(v))
+    before = {k: m.p[k].copy() for k in ("up", "up_bias", "down")}
+    m.train(*attention.sequences(v, ids, np.array([0, 2000])))
+    assert all((m.p[k] != w).any() for k, w in before.items())
+
+
 def test_op4(spark, empty, tmp_path):
     html = ["<p>é</p>", "", None, "<p>é</p>", "z\r\n\r\nWARC/1.1", "", "q" * 70000]
     pages = spark.createDataFrame([(10 - i, f"http://x/{i}\r\nX: y" if i else None, h, "clash") for i, h in enumerate(html)], "page_id long, url string, html string, digest string").repartition(2)
