@@ -445,6 +445,13 @@ def q_hash_tree(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.hash_tree(o.select(F.col("o_orderkey").alias("index"), F.encode(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), "UTF-8").alias("data")), b"")
 
 
+@query()
+def q_hash_tree_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders, so three levels from 16,385 on; without SQL, whose levels are fixed."""
+    o = table(spark, sf, "orders")
+    return ranges.hash_tree(o.select(F.col("o_orderkey").alias("index"), F.encode(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), "UTF-8").alias("data")), b"")
+
+
 def _packages(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").selectExpr(
         "p_brand image", "concat('app/', p_partkey, '.apk') path", "concat('com.', p_partkey) package", "case when p_size % 4 <> 0 then p_size % 40 end target_sdk", "case when p_partkey % 13 = 0 then 'perm' end app_permission",

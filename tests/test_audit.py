@@ -163,3 +163,20 @@ def test_ranges(spark):
     assert got == level[0].hex()
     e = ranges.block_entropy(spark.createDataFrame([("x", bytes(range(256))), ("y", b"aaaa")], "k string, d binary"), ["k"], "d")
     assert {r["k"]: round(r["entropy"], 9) for r in e.collect()} == {"x": 8.0, "y": 0.0}
+
+
+def test_hash_tree_all_takes_every_order(spark, tmp_path):
+    """Three levels of 128 against brute force, through the registered query."""
+    import hashlib
+
+    from firmscope.queries import QUERIES
+
+    n = 16_390
+    spark.range(n).selectExpr("id o_orderkey", "concat('p', id % 5) o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    level = [hashlib.sha256(f"p{k % 5}{k}".encode()).digest() for k in range(n)]
+    depth = 0
+    while len(level) > 1:
+        level = [hashlib.sha256(b"".join(level[i : i + 128]).ljust(4096, b"\0")).digest() for i in range(0, len(level), 128)]
+        depth += 1
+    assert depth == 3
+    assert [r["root"] for r in QUERIES["q_hash_tree_all"](spark, str(tmp_path)).collect()] == [level[0].hex()]
