@@ -433,7 +433,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = first.join(live.select("node"), "node", "left_semi")
     match_text = F.pandas_udf(lambda s: _text_nodes(s, k), T.LongType())
     texts = base.join(chosen, "row").withColumn("mine", match_text("text")).where(F.col("mine") == F.col("node"))
-    texts = saved(texts.select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+    # Sets that only rows without id hold are found by the text itself.
+    others = base.where(F.col("row").isNull() & F.col("text").isNotNull()).withColumn("mine", match_text("text"))
+    others = others.join(chosen.where(F.col("row").isNull()).select("node"), F.col("mine") == F.col("node"))
+    texts = saved(texts.select("node", "text").unionByName(others.select("node", "text")).dropDuplicates(["node"]), "jaccard-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")

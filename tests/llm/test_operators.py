@@ -109,6 +109,18 @@ def test_op1(spark, docs, rows, empty):
     assert got == [("3", 1, "3"), ("3", 2, "3"), ("None", 0, "None"), ("None", 2, "3")]
 
 
+def test_op1_near_copies_without_id(spark):
+    """Rows without id link to near copies, with each other, and as bridges."""
+    w = [f"w{k}" for k in range(60)]
+    text = lambda n, *more: " ".join([*w[n:], *more])
+    alone = " ".join(f"z{k}" for k in range(40))
+    rows = [(7, text(0)), (None, text(7)), (5, text(14)), (None, alone), (None, alone + " end"), (9, "nothing like it at all"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["size"]) for r in jaccard_join.similarity_classes(docs).collect()]
+    wanted = [(7, 56, 5, 3), (None, 49, 5, 3), (5, 42, 5, 3), (None, 36, None, 2), (None, 37, None, 2), (9, 1, 9, 1), (None, 0, None, 1)]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
 def test_op1_levels_change_nothing(spark, docs, rows, monkeypatch):
     """Whatever is counted as frequent and whichever levels are on offer."""
     monkeypatch.setattr(jaccard_join, "MIN_FREQUENT", 3)
