@@ -36,6 +36,12 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size (file sizes for files); 0 if it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns; what else the caller's table holds never travels."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

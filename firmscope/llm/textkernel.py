@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document forms a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes whose words are hashed at once.
+HASH_BYTES = 1 << 17
 
 _SPACES = (0x20, *range(0x09, 0x0E))
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -102,13 +104,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word, equal for equal mapped bytes."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _power_tables(len(self.mapped) + 1)
-        total = np.zeros(len(self.mapped) + 1, np.uint64)
-        np.cumsum(_VALUES[self.mapped] * power[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        out, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            # Pieces keep what is held beside a long text small; a long word is a piece.
+            low = self.starts[at]
+            to = max(int(np.searchsorted(self.ends, low + HASH_BYTES, "right")), at + 1)
+            starts, ends = self.starts[at:to] - low, self.ends[at:to] - low
+            power, inverse = _power_tables(int(ends[-1]) + 1)
+            total = np.zeros(len(power), np.uint64)
+            np.cumsum(_VALUES[self.mapped[low : low + ends[-1]]] * power[:-1], out=total[1:])
+            out[at:to] = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+            at = to
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = AS_IS) -> Words:

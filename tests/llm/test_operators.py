@@ -415,6 +415,45 @@ def test_op9(spark, docs, rows, empty):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substring_dedup.dedup_substrings(odd).collect()) == [("4", 0), ("4", 0), ("5", 20), ("None", 0)]
 
 
+def brute_substrings(rows):
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, i), i)
+    return {(i, t): {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)} for i, t in rows for w in [words(t)]}
+
+
+def test_op9_hot_grams_and_factors(spark):
+    """Many phrases around one k-gram, a passage whose source changes midway, a text over a
+    chunk, a text of one word; factors are copies of their sources and end where those do."""
+    r = random.Random(8)
+    new = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    common = "if you see this line tell".split(" ")
+    a, b = new(60), new(60)
+    texts = [a, b, new(5) + a[10:50] + b[5:55] + new(5), new(3) + a[30:43], a[1:13], ["same"] * 400, new(9) + ["same"] * 40]
+    texts += [new(r.randint(4, 9)) + common + new(r.randint(4, 9)) for _ in range(60)]
+    texts += [texts[-1 - k][:-2] + new(4) for k in range(20)]
+    texts += [new(90_000) + a, new(7) + a + new(3)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    gone = brute_substrings(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (2, 64):
+        got = substring_dedup.dedup_substrings(docs, hot=hot).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            w = texts[x["doc_id"]]
+            assert {p for s in x["spans"] for p in range(s["start"], s["end"])} == gone[x["doc_id"], " ".join(w)]
+            assert x["kept"] == " ".join(y for p, y in enumerate(w) if p not in gone[x["doc_id"], " ".join(w)])
+            for f in x["factors"]:
+                n = f["end"] - f["start"]
+                assert n >= 13 and f["source"] < x["doc_id"]
+                assert w[f["start"] : f["end"]] == texts[f["source"]][f["source_start"] : f["source_start"] + n]
+    two = next(x for x in got if x["doc_id"] == 2)["factors"]
+    assert {f["source"] for f in two} == {0, 1} and max(f["end"] - f["start"] for f in two) >= 30
+
+
 def test_op10(spark, docs, rows, empty):
     got = mixing.mix(docs).collect()
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
