@@ -52,7 +52,7 @@ _SUM = np.dtype([("id", "<i8"), ("key", "<i8"), ("part", "<f8"), ("known", "<i8"
 
 _ODD_SPACE = regex.compile(r"[^\S\n ]")
 _encodings: dict[str, object] = {}
-_cache: list[dict[int, bytes]] = [{}, {}]
+_caches: dict[str, list[dict[int, bytes]]] = {}
 
 
 def _encoding(path: str):
@@ -92,6 +92,7 @@ def subwords(w: tk.Words, h: np.ndarray, path: str) -> tuple[np.ndarray, np.ndar
     """
     unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
     keys = unique.tolist()
+    _cache = _caches.setdefault(path, [{}, {}])
     if len(_cache[0]) > CACHE_SIZE // 2:
         _cache[1], _cache[0] = _cache[0], {}
     young, old = _cache

@@ -374,7 +374,7 @@ def test_op7(spark, empty):
     assert {x["score"] for x in quality_model.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_op8(docs, rows, empty, monkeypatch):
+def test_op8(spark, docs, rows, empty, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
     from firmscope.llm.queries import tokenizer_path
@@ -385,11 +385,26 @@ def test_op8(docs, rows, empty, monkeypatch):
     for i, text in rows:
         n = len(t.encode(text or "", add_special_tokens=False).ids)
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((text or "").encode()), n, n > 50)
-    odd = ["<|endoftext|>", "a <|endoftext|>  <|endoftext|>b  ", "it's  we'll x　y", "\U0001f600\U0001d54f 12ab٣", "x" * 300 + "  \n\n ", "͸ꟓ á́", "tab\t\t\ta\r\n\x0b\x85b"]
+    odd = ["<|endoftext|>", "a <|endoftext|>  <|endoftext|>b  ", "it's  we'll x　y", "\U0001f600\U0001d54f 12ab٣", "x" * 300 + "  \n\n ", "͸ꟓ á́", "tab\t\t\ta\r\n\x0b\x85b"]
+    odd += ["<|end", "oftext|>", "a\n's 'll ''re 'LL 's", "'", "ab'", "سلام 👋🏽 สวัสดี नमस्ते " * 30, "'re" * 5, " " * 500, "字" * 40, ("long text'll go on\n " * 70_000)]
+    odd += ["".join(random.Random(k).choice("ab's \n\t.1é中😀<|endoftext|>") for _ in range(60)) for k in range(200)]
     wanted = [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
-    assert token_counts.batch_counts(odd, path, {}).tolist() == wanted
+    assert token_counts.text_counts(odd, path).tolist() == wanted
+    assert token_counts.text_counts(odd, path, token_counts.frequent_lengths(path)).tolist() == wanted
     monkeypatch.setattr(token_counts, "CACHE_SIZE", 1)
-    assert token_counts.batch_counts(odd, path, {}).tolist() == wanted
+    assert token_counts.text_counts(odd, path).tolist() == wanted
+    twice = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (None, "a b", "z"), (2, None, "z")], "doc_id long, text string, id string")
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.count_tokens(twice, path).collect()) == [("1", 2), ("1", 2), ("2", 0), ("None", 2)]
+    # Files don't share what they know: bytes only, and one that the library counts alone.
+    form = json.loads(open(path, encoding="utf-8").read())
+    form["model"]["merges"] = []
+    (tmp_path / "bytes.json").write_text(json.dumps(form), encoding="utf-8")
+    for other in (str(tmp_path / "bytes.json"), tokenizer_path("word_bpe_49k.json"), path):
+        u = Tokenizer.from_file(other)
+        assert token_counts.text_counts(odd[:16], other).tolist() == [len(u.encode(x, add_special_tokens=False).ids) for x in odd[:16]]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, str(tmp_path / "bytes.json")).collect()}
+    u = Tokenizer.from_file(str(tmp_path / "bytes.json"))
+    assert got == {i: len(u.encode(x or "", add_special_tokens=False).ids) for i, x in rows}
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
