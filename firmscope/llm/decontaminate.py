@@ -7,8 +7,12 @@ every hit is extended word by word to both sides; a hit counts if it reaches
 ``window`` words. Items shorter than a window are one window each and are found
 by the fingerprint of all their words.
 
+A fingerprint that occurs several times in one item (a repeated word, a table)
+would pair every place with every place. Its hits are not extended: the windows
+around it are looked up whole, so that a text costs its own length there.
+
 The test side is held in blocks of bounded size: one block is the usual case;
-larger test sets pass over the documents block by block.
+larger test sets pass over the documents block by block, one at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +33,8 @@ WINDOW = 10
 GRAM = 5
 #: Bytes of item texts that one broadcast block may hold.
 BLOCK_BYTES = 32 << 20
+#: Pairs of a text's and an item's fingerprints that are looked at at once.
+PAIRS = 1 << 20
 _BITS = 20
 
 
@@ -49,18 +56,26 @@ def winnow(g: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 class TestIndex:
-    """Fingerprints of a block of test items."""
+    """Fingerprints of a block of test items; equal texts are one item."""
 
     def __init__(self, texts: pa.Array, window: int, gram: int):
         self.window, self.gram = window, gram
-        data, offsets = tk.buffers(texts)
+        distinct = pc.fill_null(texts, "").dictionary_encode()
+        self.rows = np.argsort(distinct.indices.to_numpy(), kind="stable")
+        self.rows_of = np.searchsorted(distinct.indices.to_numpy()[self.rows], np.arange(len(distinct.dictionary) + 1))
+        data, offsets = tk.buffers(distinct.dictionary)
         w = tk.words(data, offsets, tk.ALNUM)
         self.h, self.first, n = w.hashes(), w.first, w.n_words
         self.item_of = w.doc()
         g = tk.grams(self.h, gram)
         at = winnow(g, tk.gram_starts(self.first, window), window - gram + 1)
-        order = np.argsort(g[at], kind="stable")
-        self.key, self.at = g[at][order], at[order]
+        order = np.lexsort((at, g[at]))
+        key, at = g[at][order], at[order]
+        again = (key[1:] == key[:-1]) & (self.item_of[at[1:]] == self.item_of[at[:-1]])
+        self.repeated = np.unique(key[1:][again])
+        many = np.isin(key, self.repeated)
+        self.key, self.at = key[~many], at[~many]
+        self.whole, self.whole_item = self._windows(at[many])
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for m in range(1, window):
             items = np.flatnonzero(n == m)
@@ -69,51 +84,88 @@ class TestIndex:
                 order = np.argsort(key, kind="stable")
                 self.short[m] = (key[order], items[order])
         self.maybe = np.zeros(1 << _BITS, bool)
-        for key in (self.key, *(k for k, _ in self.short.values())):
+        for key in (self.key, self.repeated, *(k for k, _ in self.short.values())):
             self.maybe[key >> np.uint64(64 - _BITS)] = True
 
-    def _pairs(self, g: np.ndarray, at: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text position, value) for each equal pair of g[at] and key."""
-        at = at[self.maybe[g[at] >> np.uint64(64 - _BITS)]]
+    def _around(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where the windows start that hold a gram at one of the places given."""
+        reach = self.window - self.gram
+        text = np.searchsorted(first, at, "right") - 1
+        low, high = np.maximum(at - reach, first[text]), np.minimum(at, first[text + 1] - self.window)
+        return np.unique(tk.ranges(low, np.maximum(high - low + 1, 0)))
+
+    def _windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted hash, item) of the different windows around these fingerprints."""
+        start = self._around(at, self.first) if len(at) else at
+        if not len(start):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        key, item = tk.grams(self.h, self.window)[start], self.item_of[start]
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (item[1:] != item[:-1])])
+        return key[new], item[new]
+
+    def _pairs(self, g: np.ndarray, at: np.ndarray, key: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text position, value) for each equal pair of g[at] and key, in pieces."""
         low, high = np.searchsorted(key, g[at], "left"), np.searchsorted(key, g[at], "right")
-        return np.repeat(at, high - low), value[tk.ranges(low, high - low)]
-
-    def hits(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, word after the last, item) of every extended hit in a chunk."""
+        some = high > low
+        at, low, count = at[some], low[some], (high - low)[some]
+        total, x = np.concatenate([[0], np.cumsum(count)]), 0
+        while x < len(at):
+            y = max(int(np.searchsorted(total, total[x] + PAIRS, "right")) - 1, x + 1)
+            yield np.repeat(at[x:y], count[x:y]), value[tk.ranges(low[x:y], count[x:y])]
+            x = y
+
+    def _extended(self, w: tk.Words, h: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, word after the last, item) of the hits that reach a window."""
+        item = self.item_of[q]
+        doc = np.searchsorted(w.first, p, "right") - 1
+        room_left = np.minimum(p - w.first[doc], q - self.first[item])
+        room_right = np.minimum(w.first[doc + 1] - p, self.first[item + 1] - q) - self.gram
+        ends = []
+        for step, room, base in ((-1, room_left, 0), (1, room_right, self.gram - 1)):
+            reach, going = np.zeros(len(p), np.int64), np.ones(len(p), bool)
+            for d in range(1, self.window - self.gram + 1):
+                going &= room >= d
+                i = base + step * d
+                going &= h[np.where(going, p + i, 0)] == self.h[np.where(going, q + i, 0)]
+                reach += going
+            ends.append(reach)
+        ok = ends[0] + ends[1] + self.gram >= self.window
+        return (p - ends[0])[ok], (p + self.gram + ends[1])[ok], item[ok]
+
+    def hits(self, w: tk.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first word, word after the last, item) of every hit in a chunk, in pieces."""
         h = w.hashes()
-        found = [(np.zeros(0, np.int64),) * 3]
         for m, (key, items) in self.short.items():
-            p, item = self._pairs(g := tk.grams(h, m), tk.gram_starts(w.first, m), key, items) if len(h) >= m else (np.zeros(0, np.int64),) * 2
-            found.append((p, p + m, item))
-        if len(self.key) and len(h) >= self.window:
+            if len(h) >= m:
+                g = tk.grams(h, m)
+                at = tk.gram_starts(w.first, m)
+                for p, item in self._pairs(g, at[self._known(g[at])], key, items):
+                    yield p, p + m, item
+        if len(self.key) + len(self.repeated) and len(h) >= self.window:
             g = tk.grams(h, self.gram)
-            p, q = self._pairs(g, winnow(g, tk.gram_starts(w.first, self.window), self.window - self.gram + 1), self.key, self.at)
-            if len(p):
-                item = self.item_of[q]
-                doc = np.searchsorted(w.first, p, "right") - 1
-                room_left = np.minimum(p - w.first[doc], q - self.first[item])
-                room_right = np.minimum(w.first[doc + 1] - p, self.first[item + 1] - q) - self.gram
-                ends = []
-                for step, room, base in ((-1, room_left, 0), (1, room_right, self.gram - 1)):
-                    reach, going = np.zeros(len(p), np.int64), np.ones(len(p), bool)
-                    for d in range(1, self.window - self.gram + 1):
-                        going &= room >= d
-                        i = base + step * d
-                        going &= h[np.where(going, p + i, 0)] == self.h[np.where(going, q + i, 0)]
-                        reach += going
-                    ends.append(reach)
-                ok = ends[0] + ends[1] + self.gram >= self.window
-                found.append(((p - ends[0])[ok], (p + self.gram + ends[1])[ok], item[ok]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[pa.Table]:
-    rows = need(bench, item_col, text_col).withColumn("_n", F.coalesce(F.octet_length(text_col), F.lit(0)))
-    total = rows.agg(F.sum("_n")).first()[0] or 0
+            at = winnow(g, tk.gram_starts(w.first, self.window), self.window - self.gram + 1)
+            at = at[self._known(g[at])]
+            for p, q in self._pairs(g, at, self.key, self.at):
+                yield self._extended(w, h, p, q)
+            at = at[np.isin(g[at], self.repeated)]
+            if len(at):
+                for p, item in self._pairs(tk.grams(h, self.window), self._around(at, w.first), self.whole, self.whole_item):
+                    yield p, p + self.window, item
+
+    def _known(self, g: np.ndarray) -> np.ndarray:
+        return self.maybe[g >> np.uint64(64 - _BITS)]
+
+
+def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(different rows of a block, whether it is the last), one block at a time."""
+    rows = need(bench, item_col, text_col).distinct()
+    total = rows.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
-        yield block.select(item_col, text_col).toArrow()
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64(F.col(f"`{item_col}`"), F.col(f"`{text_col}`")), F.lit(n)) == k)
+        yield block.toArrow(), k == n - 1
 
 
 def decontaminate(
@@ -147,10 +199,9 @@ def decontaminate(
     )
     spark = docs.sparkSession
     state = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(out["spans"].dataType).alias("spans"), F.lit(None).cast(out["items"].dataType).alias("items"))
-    blocks = list(_blocks(bench, item_col, item_text_col, block_bytes)) if bench is not None else []
-    for k, block in enumerate(blocks):
+    for block, last in _blocks(bench, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(block)
-        last = k == len(blocks) - 1
+        del block
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             index = ids = None
@@ -163,32 +214,34 @@ def decontaminate(
         state = state.mapInArrow(run, out)
         if not last:
             state = saved(state, "decontaminate")
+            sent.unpersist()
     return state.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.array().cast(out["spans"].dataType)).alias("spans"), F.coalesce("items", F.array().cast(out["items"].dataType)).alias("items"))
 
 
 def _scan(b: pa.RecordBatch, index: TestIndex, ids: pa.Array, last: bool) -> pa.RecordBatch:
-    spans: list[list[tuple[int, int]] | None] = b.column(3).to_pylist() if b.column(3).null_count < len(b) else [None] * len(b)
+    """Add what a block of items hits to a batch (id, text, n_words, spans, items)."""
+    spans: list[list[dict] | None] = b.column(3).to_pylist() if b.column(3).null_count < len(b) else [None] * len(b)
     items: list[list | None] = b.column(4).to_pylist() if b.column(4).null_count < len(b) else [None] * len(b)
     n_words = np.zeros(len(b), np.int64)
     for at, to, data, offsets in tk.chunks(b.column(1)):
         w = tk.words(data, offsets, tk.ALNUM)
         n_words[at:to] = w.n_words
-        s, e, item = index.hits(w)
-        if not len(s):
-            continue
-        doc = np.searchsorted(w.first, s, "right") - 1
-        for d in np.unique(doc):
-            mine = doc == d
-            base = w.first[d]
-            old = spans[at + d] or []
-            mask = tk.spans_to_mask(
-                int(n_words[at + d]),
-                np.concatenate([s[mine] - base, [x["start"] for x in old]]).astype(np.int64),
-                np.concatenate([e[mine] - base, [x["end"] for x in old]]).astype(np.int64),
-            )
+        change, met = np.zeros(len(w.starts) + 1, np.int64), np.zeros(0, np.int64)
+        for s, e, item in index.hits(w):
+            np.add.at(change, s, 1)
+            np.add.at(change, e, -1)
+            met = np.unique(np.concatenate([met, (np.searchsorted(w.first, s, "right") - 1) * len(index.rows_of) + item]))
+        hit = np.cumsum(change[:-1]) > 0
+        doc, item = met // len(index.rows_of), met % len(index.rows_of)
+        for d in np.unique(doc).tolist():
+            mask = hit[w.first[d] : w.first[d + 1]]
+            for x in spans[at + d] or ():
+                mask[x["start"] : x["end"]] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
             spans[at + d] = [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)]
-            items[at + d] = list(dict.fromkeys((items[at + d] or []) + ids.take(pa.array(np.unique(item[mine]))).to_pylist()))
+            mine = item[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+            rows = index.rows[tk.ranges(index.rows_of[mine], index.rows_of[mine + 1] - index.rows_of[mine])]
+            items[at + d] = list(dict.fromkeys((items[at + d] or []) + ids.take(pa.array(rows)).to_pylist()))
     text = pa.nulls(len(b), b.schema.field(1).type) if last else b.column(1)
     return pa.RecordBatch.from_arrays(
         [b.column(0), text, pa.array(n_words), pa.array(spans, b.schema.field(3).type), pa.array(items, b.schema.field(4).type)], ["id", "text", "n_words", "spans", "items"]

@@ -325,6 +325,42 @@ def test_op5(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
+def test_op5_repeated_words(spark, monkeypatch):
+    """Repeated grams in items and texts, by brute force; then a long text of one word."""
+    r = random.Random(3)
+    mixed = lambda n: " ".join(r.choice(["no", "no", "yes", "so"]) for _ in range(n))
+    items = [(1, "no " * 40), (2, mixed(60)), (2, mixed(14)), (3, "no " * 40), (4, "yes no so " * 9), (5, "no no no"), (None, "no yes " * 8)]
+    texts = [(k, t) for k, t in enumerate(["no " * 30, mixed(200), mixed(500), "yes no so " * 5, "x " * 20 + "no yes " * 6, "no no", None, mixed(90), "no " * 9])]
+    texts.append((1, mixed(30)))
+    windows = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(max(len(w) - 9, 1)):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in texts], "doc_id long, text string, item_id string, spans string").repartition(2)
+
+    def brute(t):
+        w, hit, found = (t or "").split(), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (s := windows.get(tuple(w[k : k + size]))) is not None:
+                    hit.update(range(k, k + size))
+                    found |= s
+        return len(w), sorted(hit), sorted(map(str, found))
+
+    wanted = sorted(str((i, *brute(t))) for i, t in texts)
+    for block in (decontaminate.BLOCK_BYTES, 100):
+        got = decontaminate.decontaminate(docs, bench, block_bytes=block).collect()
+        assert sorted(str((r["doc_id"], r["n_words"], [p for s in r["spans"] for p in range(s["start"], s["end"])], sorted(map(str, r["items"])))) for r in got) == wanted
+    import pyarrow as pa
+
+    index = decontaminate.TestIndex(pa.array(["no " * 2000, "no " * 2000, "other words"]), 10, 5)
+    w = tk.words(*tk.buffers(pa.array(["no " * 100_000, "no no"])), tk.ALNUM)
+    hits = list(index.hits(w))
+    assert sum(len(h[0]) for h in hits) == 100_000 - 9 and max(h[1].max() for h in hits) == 100_000
+
+
 def test_op6(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows[::2])] + [(None, 1), (7777, None)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, labels).collect()}
