@@ -36,10 +36,11 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's size (file sizes for files); 0 if it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
+def blocks_by_size(df: DataFrame, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes`` of input by the optimizer's estimate (file
+    sizes for files), 16 a shuffle partition at most; 4 where it has no estimate."""
+    size, n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), n_parts(df.sparkSession)
+    return 4 * n if size >= 1 << 60 else max(1, min(-(-size // block_bytes), 16 * n))
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:

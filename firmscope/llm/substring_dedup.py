@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope.llm import textkernel as tk
-from firmscope.llm.shared import input_bytes, n_parts, need, saved
+from firmscope.llm.shared import blocks_by_size, n_parts, need, saved
 
 WINDOW = 13
 GRAM = 6
-#: Blocks of the reference index for each shuffle partition, and the input bytes
-#: that a block holds the phrases of at most.
-BLOCKS, BLOCK_BYTES = 4, 64 << 20
+#: Input bytes for each block of the reference index, and for each block of documents
+#: to parse. Their numbers follow the data, so that blobs do not get smaller with more
+#: partitions.
+INDEX_BYTES, PARSE_BYTES = 4 << 20, 16 << 20
 #: Text handled in one piece by the map tasks.
 PIECE_BYTES = 8 << 20
 #: Different phrases of one k-gram in a piece from which on it is hot.
@@ -183,7 +184,7 @@ def _several(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _index(batches: Iterator[pa.RecordBatch], window: int, gram: int, n_blocks: int, hot_at: int) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], window: int, gram: int, n_blocks: int, n_parse: int, hot_at: int) -> Iterator[pa.RecordBatch]:
     """Map side: the phrases of a piece of text, combined, as blobs by block."""
     for b in batches:
         for _, piece in _pieces(b):
@@ -203,10 +204,10 @@ def _index(batches: Iterator[pa.RecordBatch], window: int, gram: int, n_blocks:
             marks = e[hot][np.unique(of[hot], return_index=True)[1]]
             marks["n"] = _MARK
             e = np.concatenate([e[~hot], marks])
-            yield _batch([*_dealt(e, rows, tk.bucket(e["gram"], n_blocks)), *_to_documents(found, rows, n_blocks)])
+            yield _batch([*_dealt(e, rows, tk.bucket(e["gram"], n_blocks)), *_to_documents(found, rows, n_parse)])
 
 
-def _answers(batches: Iterator[pa.RecordBatch], n_blocks: int, answer) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], n_parse: int, answer) -> Iterator[pa.RecordBatch]:
     """Blobs of documents pass; blobs of a block are answered with blobs of documents."""
     ready: list[pa.RecordBatch] = []
 
@@ -221,7 +222,7 @@ def _answers(batches: Iterator[pa.RecordBatch], n_blocks: int, answer) -> Iterat
             yield ready.pop()
         found = answer(rows, e)
         if len(found):
-            yield _batch(list(_to_documents(found, rows, n_blocks)))
+            yield _batch(list(_to_documents(found, rows, n_parse)))
     yield from ready
 
 
@@ -238,7 +239,7 @@ def _look_up(rows: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.concatenate([found, _found(e[check], CHECK)])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], window: int, n_blocks: int, n_parse: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the single windows inside the phrases to check, combined, as blobs by hash."""
     for b in batches:
         for _, piece in _pieces(b):
@@ -261,7 +262,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, n_blocks: int) -> I
             e = np.concatenate(parts)
             matched, found = _with_sources(e, rows["id"][e["row"]], e["gram"])
             e = e[~matched]
-            yield _batch([*_dealt(e, rows, tk.bucket(e["gram"], n_blocks)), *_to_documents(found, rows, n_blocks)])
+            yield _batch([*_dealt(e, rows, tk.bucket(e["gram"], n_blocks)), *_to_documents(found, rows, n_parse)])
 
 
 def _look_up_windows(rows: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -375,7 +376,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     n = n_parts(spark)
-    n_blocks = max(BLOCKS * n, min(input_bytes(docs) // BLOCK_BYTES, 1 << 24))
+    n_blocks, n_parse = blocks_by_size(docs, INDEX_BYTES), blocks_by_size(docs, PARSE_BYTES)
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = need(docs, id_col, text_col).select(ident.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -384,12 +385,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return blobs.repartition(n, "block").sortWithinPartitions("block")
 
     def parsed(blobs: DataFrame, look_up) -> DataFrame:
-        answers = dealt(blobs).mapInArrow(lambda it: _answers(it, n_blocks, look_up), _BLOB)
+        answers = dealt(blobs).mapInArrow(lambda it: _answers(it, n_parse, look_up), _BLOB)
         return dealt(answers).mapInArrow(lambda it: _parsed(it, window), _PARSED)
 
-    found = saved(parsed(base.mapInArrow(lambda it: _index(it, window, gram, n_blocks, hot), _BLOB), _look_up), "dedup-factors")
+    found = saved(parsed(base.mapInArrow(lambda it: _index(it, window, gram, n_blocks, n_parse, hot), _BLOB), _look_up), "dedup-factors")
     unsure = base.join(found.where(F.size("checks") > 0).select("id", "key", "checks"), ["id", "key"]).select("id", "key", "text", "checks")
-    borders = parsed(unsure.mapInArrow(lambda it: _windows(it, window, n_blocks), _BLOB), _look_up_windows)
+    borders = parsed(unsure.mapInArrow(lambda it: _windows(it, window, n_blocks, n_parse), _BLOB), _look_up_windows)
     factors = F.array_sort(F.concat(*[F.coalesce(F.col(c), F.array().cast(_FACTORS)) for c in ("factors", "_more")]))
     more = borders.select("id", "key", F.col("factors").alias("_more"))
     cut = base.join(found.select("id", "key", "factors"), ["id", "key"], "left").join(more, ["id", "key"], "left")
