@@ -34,6 +34,10 @@ RANGE_BYTES = 8 << 20
 #: Bytes of records after which the writer begins the next archive.
 ARCHIVE_BYTES = 256 << 20
 
+#: Pages with one payload from which on it is marked by broadcast, and the most such
+#: payloads (48 bytes each); the least number of pages is raised until they fit.
+HOT, MAX_HOT = 1 << 12, 1 << 16
+
 # fixed values: the ZIP format's signatures and sizes
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -53,8 +57,13 @@ class Member:
     crc: int
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and inner path; Hadoop's names for object stores are understood."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
 def _open(path: str):
-    where, inner = fs.FileSystem.from_uri(path)
+    where, inner = _file_system(path)
     return where.open_input_file(inner)
 
 
@@ -160,11 +169,11 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A response record, or a revisit that leaves the payload out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:{f'uuid:{uuid.uuid4()}' if page_id is None else f'page:{page_id}'}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
@@ -190,7 +199,7 @@ def parse_record(data: bytes) -> dict:
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     if not revisit and (len(payload) != length or payload_digest(payload) != digest):
         raise BadArchive("the payload doesn't match its digest")
-    of = lambda x: int(x[len("<urn:page:") : -1]) if x else None
+    of = lambda x: int(x[len("<urn:page:") : -1]) if x and x.startswith("<urn:page:") else None
     return {"page_id": of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": digest, "payload_bytes": length, "refers_to": of(fields.get("warc-refers-to")), "payload": None if revisit else payload}
 
 
@@ -199,18 +208,18 @@ class _Writer:
 
     def __init__(self, folder: str):
         self.path = f"{folder}/{uuid.uuid4().hex}.zip"
-        where, inner = fs.FileSystem.from_uri(self.path)
+        where, inner = _file_system(self.path)
         where.create_dir(inner.rpartition("/")[0], recursive=True)
         self.file = where.open_output_stream(inner)
         self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_STORED)
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
         self.index, self.at, self.n = io.BytesIO(), 0, 0
 
-    def add(self, page_id: int, raw: bytes) -> None:
+    def add(self, page_id: int | None, raw: bytes) -> None:
         pack = zlib.compressobj(1, zlib.DEFLATED, 31)
         packed = pack.compress(raw) + pack.flush()
         self.data.write(packed)
-        self.index.write(b"%d %d %d\n" % (self.at, len(packed), page_id))
+        self.index.write(f"{self.at} {len(packed)} {'-' if page_id is None else page_id}\n".encode())
         self.at, self.n = self.at + len(packed), self.n + 1
 
     def close(self) -> tuple[str, int]:
@@ -226,17 +235,26 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
     Of pages with equal payloads of at least ``least`` bytes, the smallest id is
     the response and the others revisit it; smaller payloads, and rows that repeat
-    the response's id, are all responses. Null html is an empty payload. A task
-    that is tried again writes new files; only files of tasks that ended are
-    returned. The folder is one that all executors share.
+    the response's id, are all responses. Null html is an empty payload. Rows
+    without id (or with one that is no integer) are responses with a record id of
+    their own, which no page revisits, and read back without id. A task that is
+    tried again writes new files; only files of tasks that ended are returned. The
+    folder is one that all executors share.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     base = need(pages, id_col, url_col, html_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(f"`{html_col}`", F.lit("")).alias("html"))
-    base = base.where("id is not null")
-    keyed = base.select("id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    groups = keyed.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisits = keyed.where(F.col("size") >= least).join(groups, "digest").where("id > first").select("id", "digest", "first").distinct()
+    keyed = base.where("id is not null").select("id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
+    keyed = keyed.where(F.col("size") >= least)
+    groups = saved(keyed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-groups")
+    # Payloads that very many pages have are marked by broadcast, not in one task each.
+    least_hot = HOT
+    while groups.where(F.col("n") >= least_hot).count() > MAX_HOT:
+        least_hot *= 2
+    hot = F.broadcast(groups.where(F.col("n") >= least_hot).select("digest", "first"))
+    cold = groups.where(F.col("n") < least_hot).select("digest", "first")
+    rare = keyed.join(hot, "digest", "left_anti").join(cold, "digest")
+    revisits = rare.unionByName(keyed.join(hot, "digest")).where("id > first").select("id", "digest", "first").distinct()
     marked = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).join(revisits, ["id", "digest"], "left").select("id", "url", "html", "first")
     out = T.StructType([T.StructField("path", T.StringType()), T.StructField("n_records", T.LongType())])
 
@@ -259,7 +277,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     return saved(marked.mapInArrow(write, out), "warc-list")
 
 
-_RANGES = T.StructType([T.StructField("path", T.StringType()), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType()))])
+_RANGES = T.StructType([T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("lengths", T.ArrayType(T.LongType()))])
 RECORD = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -277,8 +295,8 @@ def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int =
     """One row a record (``RECORD``) of the archives listed in the column ``path``.
 
     Directories and indexes are read first; the records are then dealt out in
-    ranges of about ``range_bytes``, so that one large archive is read by many
-    tasks. Damaged archives raise ``BadArchive``. Empty lists give no rows.
+    ranges of about ``range_bytes``, each read in one request, so that one large
+    archive is read by many tasks. Damaged archives raise ``BadArchive``. Empty lists give no rows.
     """
     spark: SparkSession = archives.sparkSession
 
@@ -287,28 +305,28 @@ def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int =
             for path in b.column(0).to_pylist():
                 with _open(path) as f:
                     records = archive_index(f, f.size())
-                parts: list[tuple[list[int], list[int]]] = []
-                room = 0
-                for offset, length in records:
-                    if room <= 0:
-                        parts.append(([], []))
+                parts: list[tuple[int, list[int]]] = []
+                end, room = -1, 0
+                for offset, length in sorted(records):
+                    if room <= 0 or offset != end:
+                        parts.append((offset, []))
                         room = range_bytes
-                    parts[-1][0].append(offset)
                     parts[-1][1].append(length)
-                    room -= length
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(parts), pa.string()), pa.array([p[0] for p in parts], pa.list_(pa.int64())), pa.array([p[1] for p in parts], pa.list_(pa.int64()))], _RANGES.names)
+                    end, room = offset + length, room - length
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(parts), pa.string()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.list_(pa.int64()))], _RANGES.names)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, offsets, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows: list[dict] = []
+            for path, start, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with _open(path) as f:
-                    for offset, length in zip(offsets, lengths, strict=True):
-                        r = parse_record(zlib.decompress(_read(f, offset, length), 31))
-                        rows.append(r if payloads else r | {"payload": None})
-                        if len(rows) == 256:
-                            yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                            rows = []
+                    data, at, rows = memoryview(_read(f, start, sum(lengths))), 0, []
+                for length in lengths:
+                    r = parse_record(zlib.decompress(data[at : at + length], 31))
+                    rows.append(r if payloads else r | {"payload": None})
+                    at += length
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     ranges = archives.select("path").repartition(n_parts(spark), "path").mapInArrow(locate, _RANGES)
