@@ -94,7 +94,9 @@ def mix(
     Sources by code point, null last, have the weights in turn and share all
     sizes. ``taken`` counts repeats; it is 0 for a document past the cut and at
     most ``max_repeats`` times its size. The shuffle is the MD5 of seed and id,
-    so reruns agree; rows with the same id and size are interchangeable.
+    so reruns agree; rows with the same id and size are interchangeable. Ids should
+    tell rows apart: rows that share one are queued in one task. Sources are few:
+    their table, one row each, is handled in one task.
     Null ids hash as empty text, an empty table gives no rows, null or empty
     texts have size 0 and take 0.
     """
@@ -111,7 +113,8 @@ def mix(
     copies = rows.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_repeats)])))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double") / F.col("weight"))
     n = F.ceil(F.col("n_all") / F.lit(float(BUCKET_ROWS)))
-    slice_ = F.when(F.col("level") > 0, F.floor(F.col("finish") / F.col("level") * n)).otherwise(F.lit(0))
+    # Without any words every order will do.
+    slice_ = F.when(F.col("level") > 0, F.floor(F.col("finish") / F.col("level") * n)).otherwise(F.pmod("u", F.greatest(n, F.lit(1))))
     copies = copies.withColumn("slice", slice_.cast("long")).select("id", "size", "source_size", "target", "rank", "slot", "place", "epoch", "finish", "slice", "budget", "u")
     queued = _prefix(copies, [], "slice", ["finish", "rank", "epoch", "u", "id", "size"], "size", "sent")
     sent = F.when(F.col("sent") <= F.col("budget"), 1).otherwise(0)

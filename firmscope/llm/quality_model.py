@@ -196,7 +196,8 @@ def classify(
     Vectors come from all texts; labels only from rows of ``labels`` where
     ``learn_from`` (a condition on the id) holds. Only the text is an input. Null
     texts count as empty and get the score of an empty text; without labels every
-    score is 0.5. Repeated rows get a row each.
+    score is 0.5. Repeated rows get a row each; of several texts with one id the
+    network learns from one (that with the smallest vector).
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(unit_vectors(context_table(docs, text_col)))
@@ -214,7 +215,9 @@ def classify(
     n = marks.count()
     if n > max_train:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
-    t = vectors.join(marks, "id").select("id", "pooled", "y").toArrow().sort_by("id")
+    # One text an id, so that the bound on labels holds for rows.
+    drawn = vectors.join(marks, "id").groupBy("id").agg(F.min(F.struct("pooled", "y")).alias("r"))
+    t = drawn.select("id", "r.pooled", "r.y").toArrow().sort_by("id")
     x = np.array(t["pooled"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, POOLED)
     net = spark.sparkContext.broadcast(train(x, t["y"].to_numpy().astype(np.float64)))
 

@@ -249,12 +249,14 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def training_sample(features: DataFrame, labels: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """Labelled feature rows for the driver, about ``bound`` at most, drawn by a hash
-    of the id. features: (id, features); labels: (id, y)."""
+    of the id, one an id (the smallest). features: (id, features); labels: (id, y)."""
     known = labels.where(F.col("y").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < int((1 << 20) * bound / n))
-    t = features.where(F.col("id").isNotNull()).join(known, "id").select("id", "features", "y").toArrow().sort_by("id")
+    # One text an id, so that the bound on labels holds for rows.
+    drawn = features.where(F.col("id").isNotNull()).join(known, "id").groupBy("id").agg(F.min(F.struct("features", "y")).alias("r"))
+    t = drawn.select("id", "r.features", "r.y").toArrow().sort_by("id")
     if not t.num_rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     x = np.array(t["features"].combine_chunks().flatten()).reshape(t.num_rows, -1)

@@ -270,6 +270,19 @@ def test_op4(spark, empty, tmp_path):
     assert warc.read_archives(warc.write_archives(none)).count() == 0
 
 
+def test_op4_odd_rows(spark):
+    """Rows without id are kept, as responses; repeated ids, equal rows, hot payloads."""
+    rows = [(None, "a", "same"), (None, None, "same"), (5, "b", "same"), (5, "b", "same"), (9, None, "same"), (3, "c", None), (4, "c", ""), (5, "d", "other")]
+    wanted = [(None, "response", None)] * 2 + [(3, "response", None), (4, "revisit", 3), (5, "response", None), (5, "response", None), (5, "response", None), (9, "revisit", 5)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first int")
+    back = warc.read_archives(warc.write_archives(pages)).collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in back), key=str) == sorted(wanted, key=str)
+    assert sorted(bytes(r["payload"]) for r in back if r["page_id"] is None) == [b"same", b"same"]
+    many = spark.range(9000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("html"))
+    back = warc.read_archives(warc.write_archives(many), payloads=False)
+    assert {(r["record_type"], r["refers_to"], r["count"]) for r in back.groupBy("record_type", "refers_to").count().collect()} == {("response", None, 3001), ("revisit", 1, 5999)}
+
+
 def test_op4_directory(tmp_path):
     import io
     import zipfile
@@ -381,6 +394,30 @@ def test_op6(spark, docs, rows, empty):
     assert quality_rules.apply_rules(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_op6_verdict_by_walking_the_trees(spark, docs, rows):
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows[::2])], "doc_id long, quality int")
+    stats = quality_rules.document_statistics(docs)
+    x, y = quality_rules.training_sample(stats.select("id", "features"), labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")), 1000)
+    assert len(y) == len(rows[::2])
+    trees = quality_rules.fit_trees(x, y, np.array(list(quality_rules.FEATURES.values())))
+
+    def walk(k, f):
+        node = 0
+        while node < trees.feature.shape[1]:
+            node = 2 * node + (2 if f[trees.feature[k][node]] > trees.threshold[k][node] else 1)
+        return trees.leaf[k][node - trees.feature.shape[1]]
+
+    wanted = {}
+    for r in stats.collect():
+        margin = trees.base + sum(walk(k, r["features"]) for k in range(len(trees.feature)))
+        wanted[r["id"]] = 1 / (1 + np.exp(-margin))
+    for r in quality_rules.apply_rules(docs, labels).collect():
+        assert abs(r["good"] - wanted[r["doc_id"]]) < 1e-9 and r["kept"] == (not r["base_failed"] and r["good"] >= 0.5)
+    odd = spark.createDataFrame([(1, "a " * 30, "x"), (1, "b c " * 30, "x"), (None, None, "y"), (None, "a", "y")], "doc_id long, text string, features string")
+    got = quality_rules.apply_rules(odd, labels).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in got) == [("1", 30), ("1", 60), ("None", 0), ("None", 1)]
+
+
 def test_op6_trees_are_monotone():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
@@ -410,6 +447,41 @@ def test_op7(spark, empty):
     assert {x["score"] for x in quality_model.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_op7_by_hand(spark):
+    """Vectors, pooling and network once more, word by word."""
+    import pyarrow as pa
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["ab", "cde", "fgh", "ijkl", "mnop", "xyz!"][k % 3 :]) for _ in range(r.randint(0, 30))) for k in range(40)]
+    docs = spark.createDataFrame([(k, t, "p", 1) for k, t in enumerate(texts)], "doc_id long, text string, pooled string, y int").repartition(3)
+    marks = {k: k % 2 for k in range(0, 40, 3)}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    dims, signs = quality_model._index_vectors()
+    table, of = np.zeros((quality_model.BUCKETS, quality_model.DIM)), []
+    for t in texts:
+        w = tk.words(*tk.buffers(pa.array([t])))
+        of.append(quality_model.units(w))
+        for u in of[-1]:
+            for i in range(len(u)):
+                for j in range(max(i - 2, 0), min(i + 3, len(u))):
+                    if i != j:
+                        for d, s in zip(dims[u[j]], signs[u[j]]):
+                            table[u[i], d] += s
+    vectors = quality_model.unit_vectors(table)
+    x = np.zeros((40, quality_model.POOLED))
+    for k, t in enumerate(texts):
+        if len(of[k][0]):
+            x[k] = np.concatenate([*[f for u in of[k] for f in (vectors[u].mean(0), vectors[u].std(0))], [np.log1p(len(of[k][0])) / 8]])
+    ids = sorted(marks)
+    net = quality_model.train(x[ids], np.array([float(marks[i]) for i in ids]))
+    got = {q["doc_id"]: q["score"] for q in quality_model.classify(docs, labels).collect()}
+    for k in range(40):
+        hidden = [max(float(((x[k] - net.centre) / net.scale) @ net.w1[:, j] + net.b1[j]), 0) for j in range(len(net.b1))]
+        assert abs(got[k] - 1 / (1 + np.exp(-(np.dot(hidden, net.w2) + net.b2) / net.temperature))) < 1e-2
+    twice = spark.createDataFrame([(0, "ab cde", "q"), (0, "ab cde", "q"), (0, "zz", "q"), (None, "ab", "q")], "doc_id long, text string, score string")
+    assert sorted(str(q["doc_id"]) for q in quality_model.classify(twice, labels).collect()) == ["0", "0", "0", "None"]
+
+
 def test_op8(spark, docs, rows, empty, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
@@ -495,8 +567,9 @@ def test_op9_hot_grams_and_factors(spark):
         assert len(got) == len(rows)
         for x in got:
             w = texts[x["doc_id"]]
-            assert {p for s in x["spans"] for p in range(s["start"], s["end"])} == gone[x["doc_id"], " ".join(w)]
-            assert x["kept"] == " ".join(y for p, y in enumerate(w) if p not in gone[x["doc_id"], " ".join(w)])
+            cut = gone[x["doc_id"], " ".join(w)]
+            assert {p for s in x["spans"] for p in range(s["start"], s["end"])} == cut
+            assert x["kept"] == " ".join(y for p, y in enumerate(w) if p not in cut)
             for f in x["factors"]:
                 n = f["end"] - f["start"]
                 assert n >= 13 and f["source"] < x["doc_id"]
