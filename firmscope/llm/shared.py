@@ -6,10 +6,15 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that a batch between the JVM and Python holds at most while a table is saved.
+BATCH_BYTES = 16 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _cleaned: set[str] = set()
 
 
@@ -43,12 +48,27 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller batches to Python for what runs inside, unless the session has its own
+    size: texts stand in the memory of both sides, several times over."""
+    own = spark.conf.get(_BATCH, _BATCH_DEFAULT) != _BATCH_DEFAULT
+    if not own:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.set(_BATCH, _BATCH_DEFAULT)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, so that a lost
     executor costs a re-read, and fixes the rows where a plan uses them twice."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
