@@ -116,6 +116,22 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([none(m), none(m), none(m), pa.array(t[edge][many].astype(np.int64)), pa.array(count[many])], _DOC.names)
 
 
+def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(node, text) of the different sets of a batch that aren't empty."""
+    for b in batches:
+        nodes = [np.zeros(0, np.int64)]
+        for at, to, data, offsets in _chunks(b.column(0)):
+            token, doc = shingle_sets(data, offsets, k)
+            nodes.append(_nodes(token, doc, np.bincount(doc, minlength=to - at)))
+        node = np.concatenate(nodes)
+        first = np.unique(node, return_index=True)[1]
+        first = first[node[first] != 0]
+        yield pa.RecordBatch.from_arrays([pa.array(node[first]), b.column(0).take(pa.array(first))], _TEXT.names)
+
+
+_TEXT = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
+
+
 def _fresh(node: np.ndarray, seen: set[int]) -> np.ndarray:
     """True for the first document of each set in the batch; empty sets never."""
     out = np.zeros(len(node), bool)
@@ -428,15 +444,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = live.withColumn("live", (F.col("n") - reach + F.col("hits")).cast("int"))
     live = live.where(F.col("live") >= F.ceil(F.lit(percent) * F.col("n") / 100)).select("node", "live")
     index = saved(shared.join(live, "node").select("token", "node", "n", "level", "at", "live"), "jaccard-live")
-    # One text for each set that is still in.
-    first = rows.where(F.col("node") != 0).groupBy("node").agg(F.min("row").alias("row"))
-    chosen = first.join(live.select("node"), "node", "left_semi")
-    match_text = F.pandas_udf(lambda s: _text_nodes(s, k), T.LongType())
-    texts = base.join(chosen, "row").withColumn("mine", match_text("text")).where(F.col("mine") == F.col("node"))
-    # Sets that only rows without id hold are found by the text itself.
-    others = base.where(F.col("row").isNull() & F.col("text").isNotNull()).withColumn("mine", match_text("text"))
-    others = others.join(chosen.where(F.col("row").isNull()).select("node"), F.col("mine") == F.col("node"))
-    texts = saved(texts.select("node", "text").unionByName(others.select("node", "text")).dropDuplicates(["node"]), "jaccard-texts")
+    # One text for each set that is still in, whoever holds it.
+    held = base.select("text").mapInArrow(lambda it: _texts(it, k), _TEXT)
+    texts = saved(held.join(live.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -468,12 +478,3 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(empty, F.lit(1)).otherwise(F.col("size")).cast("long").alias("size"),
     )
 
-
-def _text_nodes(texts, k: int):
-    import pandas as pd
-
-    out = [np.zeros(0, np.int64)]
-    for at, to, data, offsets in _chunks(pa.array(texts, pa.string())):
-        token, doc = shingle_sets(data, offsets, k)
-        out.append(_nodes(token, doc, np.bincount(doc, minlength=to - at)))
-    return pd.Series(np.concatenate(out))
