@@ -66,6 +66,14 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(basename(name), r"(?<=.)\.[^.]*$", "")
 
 
+def archive_stem(name: Column) -> Column:
+    """The name without the endings of archives: ``.md5``, then ``.tgz`` and its kind, or
+    a compression, ``.tar`` and ``.ozip`` in this order."""
+    base = F.regexp_replace(name, r"\.md5$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, r"\.(gz|xz|bz2|zst|lz4)$", ""), r"\.tar$", ""), r"\.ozip$", "")
+    return F.when(base.rlike(r"\.(tgz|txz|tbz2)$"), F.regexp_replace(base, r"\.(tgz|txz|tbz2)$", "")).otherwise(plain)
+
+
 # fixed values: control, bidi, zero-width, line and paragraph separators
 UNSAFE_CHARS = "[\\u0000-\\u001f\\u007f-\\u009f\\u200b-\\u200f\\u2028-\\u202e\\u2060-\\u2069\\ufeff]"
 
@@ -84,10 +92,10 @@ def shell_quote(value: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """1024-based size with one decimal, without a trailing ``.0``."""
+    """1024-based size with one decimal (ties to even), without a trailing ``.0``."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        shown = F.regexp_replace(F.format_string("%.1f", size / F.lit(float(1 << 10 * k))), r"\.0$", "")
+        shown = F.regexp_replace(F.format_string("%.1f", F.bround(size / F.lit(float(1 << 10 * k)), 1)), r"\.0$", "")
         out = F.when(size >= 1 << 10 * k, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
     return out
 

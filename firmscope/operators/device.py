@@ -21,6 +21,24 @@ def missing_partitions(files: DataFrame, expected: DataFrame) -> DataFrame:
     return grid.join(have, ["dir", "partition"], "left_anti")
 
 
+def partition_coverage(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(dir, severity, subject): a warning for each missing image, or one error for a
+    folder that has no image and no transfer list at all."""
+    stem = F.regexp_extract(F.lower("name"), r"^(.+?)(\.img|\.transfer\.list)$", 1)
+    empty = files.groupBy("dir").agg(F.max(F.coalesce(F.col("is_file") & (stem != ""), F.lit(False))).alias("any")).where("not any").select("dir")
+    none = empty.select("dir", F.lit("error").alias("severity"), F.lit("images").alias("subject"))
+    missing = missing_partitions(files, expected).join(empty, "dir", "left_anti")
+    return none.unionByName(missing.select("dir", F.lit("warn").alias("severity"), F.concat("partition", F.lit(".img")).alias("subject")))
+
+
+def update_gaps(files: DataFrame) -> DataFrame:
+    """(dir, rule): quality rules that can't be evaluated where a folder holds an update's
+    transfer lists but no image yet; files: dir, name, is_file."""
+    has = lambda end: F.max(F.coalesce(F.col("is_file") & F.lower("name").endswith(end), F.lit(False)))
+    folders = files.groupBy("dir").agg(has(".img").alias("images"), has(".transfer.list").alias("lists")).where("lists and not images")
+    return folders.select("dir", F.explode(F.array(*[F.lit(r) for r in GRID_RULES])).alias("rule"))
+
+
 def unhandled_input(files: DataFrame, scaffolding: tuple[str, ...] = ("payload_properties.txt", "metadata", "care_map.pb", "compatibility.zip")) -> DataFrame:
     n = F.lower("name")
     known = n.isin(*scaffolding) | n.rlike(r"\.(img|transfer\.list|new\.dat|new\.dat\.br|patch\.dat|json|sha256)$")
@@ -83,12 +101,15 @@ def staleness(patch_level: Column, today: Column) -> tuple[Column, Column]:
 
 
 def adb_summary(props: DataFrame) -> DataFrame:
-    """Distinct sorted values of the debugging properties over all images, and a verdict."""
+    """One row: the distinct values of the debugging properties over all images, sorted
+    and joined by ``/``, and what they mean; root comes before missing authorization."""
     value = lambda key: F.array_sort(F.collect_set(F.when(F.col("key") == key, F.col("value"))))
-    s = props.agg(value("ro.secure").alias("secure"), value("ro.debuggable").alias("debuggable"), value("ro.adb.secure").alias("adb_secure"), value("persist.sys.usb.config").alias("usb"))
-    open_ = F.array_contains("secure", "0") | F.array_contains("adb_secure", "0")
-    on = F.exists("usb", lambda u: F.array_contains(F.split(u, ","), "adb"))
-    return s.withColumn("verdict", F.when(open_, "open").when(on, "on").when(F.array_contains("debuggable", "1"), "debuggable").otherwise("off"))
+    s = props.agg(value("ro.secure").alias("secure"), value("ro.adb.secure").alias("adb_secure"), value("ro.debuggable").alias("debuggable"), value("persist.sys.usb.config").alias("usb"))
+    root = F.array_contains("debuggable", "1") | F.array_contains("secure", "0")
+    unset = (F.size("secure") == 0) & (F.size("adb_secure") == 0) & (F.size("debuggable") == 0)
+    verdict = F.when(root, "adbd can run as root").when(F.array_contains("adb_secure", "0"), "ADB needs no authorization").when(unset, "no ADB properties found")
+    shown = [F.when(F.size(c) == 0, "not set").otherwise(F.array_join(c, "/")).alias(c) for c in ("secure", "adb_secure", "debuggable", "usb")]
+    return s.select(*shown, verdict.otherwise("ADB needs authorization and does not run as root").alias("verdict"))
 
 
 def resolve_links(entries: DataFrame, hops: int = 8) -> DataFrame:

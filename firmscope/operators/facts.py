@@ -128,3 +128,19 @@ def image_content_hits(entries: DataFrame, contents: DataFrame) -> DataFrame:
     scope = content_scope(entries).select("image", "path")
     texts = contents.join(scope, ["image", "path"], "left_semi").select("image", "path", F.decode("content", "UTF-8").alias("text"))
     return content_hits(texts, ["image", "path"]).distinct()
+
+
+#: Sizes of files that may be native objects, and how many and how much are read an image.
+ELF_BYTES, ELF_COUNT, ELF_TOTAL = (52, 64 << 20), 20_000, 512 << 20
+
+
+def elf_candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((image, path, size) to read, (image, truncated)): shared objects by name and files
+    that anyone may execute, in path order, until a count or a total is reached."""
+    from pyspark.sql import Window
+
+    maybe = (F.col("kind") == "file") & F.col("size").between(*ELF_BYTES) & (F.col("path").contains(".so") | (F.col("mode").bitwiseAND(F.lit(0o111)) != 0))
+    order = Window.partitionBy("image").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    some = entries.where(maybe).select("image", "path", "size").withColumn("_n", F.count("*").over(order)).withColumn("_used", F.sum("size").over(order))
+    inside = (F.col("_n") <= ELF_COUNT) & (F.col("_used") <= ELF_TOTAL)
+    return some.where(inside).select("image", "path", "size"), some.groupBy("image").agg(F.max(~inside).alias("truncated"))

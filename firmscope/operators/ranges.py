@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def running_budget(df: DataFrame, keys: list[str], order: list[str | Column], size: str, limit: int, policy: str = "check-first") -> DataFrame:
@@ -23,17 +28,27 @@ def running_budget(df: DataFrame, keys: list[str], order: list[str | Column], si
 
 
 def skipping_budget(df: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
-    """Keep rows that still fit, skipping those that don't and going on: no prefix
-    sum, so each key's rows are folded in order (as arrays of size and order)."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s")))).alias("r"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("kept"))
+    """Keep rows that still fit, skipping those that don't and going on.
+
+    There is no prefix sum for this, so each key's rows pass one task in order; but
+    as a stream, sorted by the shuffle, with one running total in memory.
+    """
+    rows = df.select(F.col(key), F.col(order), F.col(size).cast("bigint").alias(size))
+    fields = rows.schema
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["s"] <= limit
-        return F.struct(F.when(fits, acc["used"] + x["s"]).otherwise(acc["used"]).alias("used"), F.array_append(acc["kept"], fits).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = object(), 0
+        for b in batches:
+            keep = []
+            for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != at:
+                    at, used = k, 0
+                fits = n is not None and used + n <= limit
+                used += n if fits else 0
+                keep.append(fits)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    folded = rows.withColumn("f", F.aggregate("r", start, step))
-    return folded.select(key, F.explode(F.arrays_zip("r", F.col("f.kept").alias("kept"))).alias("z")).where("z.kept").select(key, F.col("z.r.o").alias(order), F.col("z.r.s").alias(size))
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, fields)
 
 
 def overlaps(df: DataFrame, keys: list[str], start: Column, end: Column, ties: list[str | Column]) -> DataFrame:
@@ -50,21 +65,62 @@ def extent_offsets(df: DataFrame, keys: list[str], order: list[str | Column], le
     return df.withColumn("begin", F.coalesce(F.sum(length).over(w), F.lit(0)))
 
 
-def index_range_join(owners: DataFrame, items: DataFrame, first: str, count: str, index: str) -> DataFrame:
-    """items whose index lies in an owner's [first, first + count): ranges are opened
-    to their indexes, so that it is an equi-join at any size."""
-    opened = owners.where(F.col(count) > 0).withColumn(index, F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)))
-    return opened.join(items, index)
+def index_range_join(owners: DataFrame, items: DataFrame, first: str, count: str, index: str, width: int = 1 << 16) -> DataFrame:
+    """items whose index lies in an owner's [first, first + count).
+
+    Both sides meet in buckets of ``width`` indexes: a range is opened to the buckets
+    that it touches, never to its indexes, so the join is an equi-join on the bucket
+    with the range as a condition, and a range of millions costs a few rows.
+    """
+    buckets = F.sequence(F.floor(F.col(first) / width), F.floor((F.col(first) + F.col(count) - 1) / width))
+    opened = owners.where(F.col(count) > 0).withColumn("_bucket", F.explode(buckets))
+    inside = items.withColumn("_bucket", F.floor(F.col(index) / width))
+    return opened.join(inside, "_bucket").where((F.col(index) >= F.col(first)) & (F.col(index) < F.col(first) + F.col(count))).drop("_bucket")
+
+
+def rank_below(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n): pairs of a left and a right row of one key with left value < right value.
+
+    No pair is built: both sides become counts by value, and each right value takes
+    the running count of the left values before it. left, right: key, value.
+    """
+    one = lambda df, c: df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias(c))
+    both = one(left, "l").join(one(right, "r"), [key, value], "full").fillna(0, ["l", "r"])
+    before = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    pairs = both.withColumn("n", F.col("r") * F.coalesce(F.sum("l").over(before), F.lit(0)))
+    return pairs.groupBy(key).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def block_entropy(df: DataFrame, keys: list[str], data: str) -> DataFrame:
-    """Shannon entropy in bits per byte of each row's bytes (by two-level counts)."""
-    byte = F.explode(F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.substr(F.hex(data), 2 * i - 1, F.lit(2))))
-    n = df.where(F.octet_length(data) > 0).select(*keys, byte.alias("b")).groupBy(*keys, "b").agg(F.count("*").alias("n"))
-    total = n.groupBy(*keys).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    """Shannon entropy in bits per byte of each row's bytes; rows of equal keys are one.
+
+    Bytes are counted where they are, in one pass; 256 counts a row travel.
+    """
+    fields = T.StructType([*[df.schema[k] for k in keys], T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256) for x in b.column(len(keys))]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * 256), pa.array(np.concatenate([np.zeros(0, np.int64), *counts])))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], lists], fields.names)
+
+    counted = df.where(F.octet_length(data) > 0).select(*keys, data).mapInArrow(run, fields)
+    summed = counted.groupBy(*keys).agg(*[F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(256)])
+    n = F.filter(F.array(*[F.col(f"n{k}") for k in range(256)]), lambda x: x > 0)
+    total = summed.select(*keys, F.aggregate(n, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("t"), F.aggregate(n, F.lit(0.0), lambda a, x: a + x * F.log2(x)).alias("s"))
     return total.select(*keys, (F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
 
 
+#: Data at least this long and this near to 8 bits a byte is compressed or encrypted.
+ENTROPY_BYTES, ENTROPY_BITS = 4096, 7.9
+
+
+def high_entropy(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """(keys, entropy) of data that looks compressed or encrypted."""
+    long = df.where(F.octet_length(data) >= ENTROPY_BYTES)
+    return block_entropy(long, keys, data).where(F.col("entropy") >= ENTROPY_BITS)
+
+
 def hash_tree(blocks: DataFrame, salt: bytes, block_size: int = 4096) -> DataFrame:
     """Root of a SHA-256 tree over (index, data) blocks of equal size.
 
@@ -74,9 +130,12 @@ def hash_tree(blocks: DataFrame, salt: bytes, block_size: int = 4096) -> DataFra
     """
     digest = lambda data: F.unhex(F.sha2(F.concat(F.lit(salt), data), 256))
     level = blocks.select("index", digest(F.col("data")).alias("digest"))
-    n, fan = blocks.count(), block_size // 32
+    seen = blocks.agg(F.count("*").alias("n"), F.min("index").alias("least"), F.max("index").alias("most"), F.sum("index").alias("sum")).first()
+    n, fan = seen["n"], block_size // 32
     if n == 0:
         raise ValueError("no blocks")
+    if (seen["least"], seen["most"], seen["sum"]) != (0, n - 1, n * (n - 1) // 2):
+        raise ValueError("block indexes must be 0, 1, 2 and so on, without gaps")
     while True:
         group = level.groupBy(F.floor(F.col("index") / fan).alias("index")).agg(F.array_sort(F.collect_list(F.struct("index", "digest"))).alias("d"))
         joined = F.unhex(F.rpad(F.array_join(F.transform("d", lambda x: F.hex(x["digest"])), ""), 2 * block_size, "0"))

@@ -115,8 +115,80 @@ def manifest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("image", "kind").agg(F.count("*").alias("n"))
 
 
-def case_collisions(entries: DataFrame) -> DataFrame:
-    """Rename plan for paths that differ in case only: the first stays, others get ``~caseN``."""
-    same = Window.partitionBy("image", F.lower("path")).orderBy("path")
-    nth = F.row_number().over(same)
-    return entries.select("image", "path", F.when(nth > 1, F.concat("path", F.lit("~case"), (nth - 1).cast("string"))).otherwise(F.col("path")).alias("extracted_as"))
+def case_collisions(entries: DataFrame, policy: str = "rename") -> DataFrame:
+    """(image, path, extracted_as) for hosts that don't tell case apart: ``rename`` keeps
+    the first of paths that differ in case only and calls the others ``~case2`` and so
+    on; ``reject`` makes a job fail that meets one; ``allow`` keeps every name."""
+    if policy == "allow":
+        return entries.select("image", "path", F.col("path").alias("extracted_as"))
+    nth = F.row_number().over(Window.partitionBy("image", F.lower("path")).orderBy("path"))
+    others = {"rename": F.concat("path", F.lit("~case"), nth.cast("string")), "reject": F.raise_error(F.concat(F.lit("paths that differ in case only: "), F.col("path"))).cast("string")}
+    return entries.select("image", "path", F.when(nth > 1, others[policy]).otherwise(F.col("path")).alias("extracted_as"))
+
+
+def hard_links(entries: DataFrame) -> DataFrame:
+    """Files with the path whose data they share: the first of an inode with several
+    links is extracted, later ones link to it and take its checksum."""
+    inode = Window.partitionBy("image", "ino").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = F.col("nlink") > 1
+    files = entries.where("kind = 'file'")
+    return files.select("image", "path", F.when(shared, F.first("path").over(inode)).otherwise(F.col("path")).alias("data_path"), F.when(shared, F.first("sha256").over(inode)).otherwise(F.col("sha256")).alias("sha256"))
+
+
+#: Lines that a list in a text report has.
+TEXT_CAP = 25
+
+
+def capped_lists(rows: DataFrame, by: str, order: str, line: Column, most: int = TEXT_CAP) -> DataFrame:
+    """(by, lines, more): the first ``most`` lines of each list, and how many it has beyond.
+    Only those that are shown are gathered; the rest is counted."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order, "_line"))
+    some = rows.withColumn("_line", X.sanitize(line)).withColumn("_n", nth)
+    shown = F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", "_line")))
+    lists = some.groupBy(by).agg(F.array_sort(shown).alias("_l"), F.count("*").alias("_all"))
+    return lists.select(by, F.transform("_l", lambda x: x["_line"]).alias("lines"), F.greatest(F.col("_all") - most, F.lit(0)).alias("more"))
+
+
+def diff_digest(changes: DataFrame) -> DataFrame:
+    """(image, text): a line of counts by status, then the changes up to the cap."""
+    count = lambda s: F.count_if(F.col("status") == s).cast("string")
+    head = F.concat(X.sanitize(F.col("image")), F.lit(": "), count("added"), F.lit(" added, "), count("removed"), F.lit(" removed, "), count("modified"), F.lit(" modified, "), count("metadata"), F.lit(" metadata-only, "), count("unchanged"), F.lit(" unchanged"))
+    shown = capped_lists(changes.where("status <> 'unchanged'"), "image", "path", F.concat(F.lit("  "), F.rpad("status", 8, " "), F.lit(" /"), F.col("path")))
+    tail = F.when(F.col("more") > 0, F.array(F.concat(F.lit("  ... "), F.col("more").cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return changes.groupBy("image").agg(head.alias("head")).join(shown, "image", "left").select("image", F.array_join(F.concat(F.array("head"), F.coalesce("lines", F.array().cast("array<string>")), F.coalesce(tail, F.array().cast("array<string>"))), "\n").alias("text"))
+
+
+def sarif_document(findings: DataFrame, known: DataFrame, tool: str = "firmscope", version: str = "1") -> str:
+    """The whole SARIF 2.1.0 report: a driver-side sink. Of findings that a baseline has
+    marked, only new ones are results; the rules are those known and those seen."""
+    shown = findings.where("baseline_state = 'new'") if "baseline_state" in findings.columns else findings
+    body = {
+        "$schema": "https://json.schemastore.org/sarif-2.1.0.json",
+        "version": "2.1.0",
+        "runs": [
+            {
+                "tool": {"driver": {"name": tool, "version": version, "rules": [{"id": r["rule"]} for r in sarif_rules(shown, known).toLocalIterator()]}},
+                "results": [json.loads(r["result"]) for r in sarif_results(shown).toLocalIterator()],
+            }
+        ],
+    }
+    return json.dumps(body, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+#: What a command returns beside the gate's 0, 1 and 3.
+USAGE_ERROR, INTERRUPTED = 2, 130
+#: The severity from which on a command's gate counts, where none is given.
+DEFAULT_THRESHOLD = {"scan": "critical", "audit": None, "diff": "high", "baseline": "low"}
+
+
+def exit_code(run, threshold: str | None, with_baseline: bool = False) -> int:
+    """Run a plan (a function that returns findings) and gate it: 0, 1 or 3 by its
+    findings, 2 if it fails, 130 if it is interrupted."""
+    try:
+        findings = run()
+        threshold = threshold or (DEFAULT_THRESHOLD["baseline"] if with_baseline else None)
+        return gate(findings, threshold, with_baseline).first()["exit_code"] if threshold else 0
+    except KeyboardInterrupt:
+        return INTERRUPTED
+    except Exception:
+        return USAGE_ERROR

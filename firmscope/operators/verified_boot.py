@@ -66,3 +66,14 @@ def certificate_concerns(certificates: DataFrame, now) -> DataFrame:
         say((F.lower("key_algorithm") == "rsa") & (F.col("key_bits") < 2048), "short key"),
     )
     return certificates.select("path", F.explode(F.filter(concerns, lambda x: x.isNotNull())).alias("concern"))
+
+
+def signature_outcomes(folders: DataFrame, vbmeta: DataFrame) -> DataFrame:
+    """(dir, severity, outcome): what a folder's vbmeta.img says about its signature; a
+    missing or unreadable one is told, not passed over. folders: dir; vbmeta: dir,
+    signature (valid, invalid, absent, unsupported), algorithm, error."""
+    s = F.col("signature")
+    outcome = F.when(F.col("_met").isNull(), "no vbmeta.img found").when(F.col("error").isNotNull() | s.isNull(), "could not read vbmeta.img").when(s == "valid", "verified").when(s == "invalid", "signature does not verify").when(s == "absent", "unsigned")
+    outcome = outcome.otherwise(F.concat(F.lit("algorithm "), F.col("algorithm").cast("string"), F.lit(" is not checked")))
+    severity = F.when(F.col("error").isNotNull() | s.isNull() | (s == "valid"), "info").when(s == "invalid", "error").otherwise("warn")
+    return folders.join(vbmeta.withColumn("_met", F.lit(True)), "dir", "left").select("dir", severity.alias("severity"), outcome.alias("outcome"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import bz2
 import hashlib
 import os
+import re
 import shutil
+import stat
 import struct
 import tarfile
 import tempfile
@@ -13,6 +15,8 @@ from collections.abc import Iterable, Iterator
 from io import BytesIO
 from pathlib import Path
 
+import numpy as np
+
 from firmscope.sources.images import Refused, _take
 
 BLOCK = 4096
@@ -58,10 +62,11 @@ def bspatch(old: bytes, patch: bytes) -> bytes:
         n_add, n_copy, move = (_signed(control, k + 8 * i) for i in range(3))
         if n_add < 0 or n_copy < 0 or len(out) + n_add + n_copy > size:
             raise Refused("a step leaves the new file")
-        piece = _take(added, in_diff, n_add)
-        for i, b in enumerate(piece):
-            base = old[at + i] if 0 <= at + i < len(old) else 0
-            out.append((base + b) & 0xFF)
+        piece = np.frombuffer(_take(added, in_diff, n_add), np.uint8).copy()
+        low, high = max(at, 0), min(at + n_add, len(old))  # bytes outside of the old file count as zero
+        if low < high:
+            piece[low - at : high - at] += np.frombuffer(old, np.uint8, high - low, low)
+        out += piece.tobytes()
         out += _take(extra, in_extra, n_copy)
         in_diff, in_extra, at = in_diff + n_add, in_extra + n_copy, at + n_add + move
     if len(out) != size:
@@ -100,6 +105,31 @@ def safe_path(path: str) -> str:
     return "/".join(parts)
 
 
+def refuse_blocking(path: str) -> str:
+    """The path, unless opening it could wait forever: FIFOs and sockets are refused."""
+    mode = os.stat(path).st_mode
+    if stat.S_ISFIFO(mode) or stat.S_ISSOCK(mode):
+        raise Refused(f"{path} is a FIFO or socket")
+    return path
+
+
+def joined_pieces(names: Iterable[str], part: str) -> tuple[list[str], bool]:
+    """(data files of a partition in reading order, whether they are brotli data): the
+    whole file, else numbered pieces, which must follow each other from 0 or 1."""
+    names = list(names)
+    for end, packed in ((".new.dat.br", True), (".new.dat", False)):
+        if part + end in names:
+            return [part + end], packed
+    for end, packed in ((".new.dat.br.", True), (".new.dat.", False)):
+        pieces = sorted((int(n[len(part + end) :]), n) for n in names if re.fullmatch(r"[0-9]+", n[len(part + end) :]) and n.startswith(part + end))
+        if pieces:
+            first = pieces[0][0]
+            if first > 1 or [k for k, _ in pieces] != list(range(first, first + len(pieces))):
+                raise Refused(f"{part}: pieces don't follow each other from 0 or 1")
+            return [n for _, n in pieces], packed
+    raise Refused(f"{part}: no data file and no pieces of one")
+
+
 def publish(files: Iterable[tuple[str, bytes]], target: str, force: bool = False) -> int:
     """Write a tree beside its target and rename it when all is there; on failure
     nothing is published. A driver-side sink for trees that people asked for."""

@@ -20,7 +20,8 @@ def test_sniff_order(spark):
     ext3[1024 + 0x5C] = 4
     tar = bytearray(600)
     tar[257:262] = b"ustar"
-    cases = {"zip": b"PK\x03\x04x", "boot": b"ANDROID!", "sparse": b"\x3a\xff\x26\xed", "bzip2": b"BZh9x", "unknown": b"BZhx", "ext2": bytes(ext), "ext3": bytes(ext3), "ext4": bytes(ext4), "tar": bytes(tar), "gzip": gzip.compress(b"x"), "nb0": b"?"}
+    cases = {"zip": b"PK\x03\x04x", "boot-image": b"ANDROID!", "android-sparse": b"\x3a\xff\x26\xed", "bzip2": b"BZh9x", "unknown": b"BZhx", "ext2": bytes(ext), "ext3": bytes(ext3), "ext4": bytes(ext4), "tar": bytes(tar), "gzip": gzip.compress(b"x"), "aml-container": b"@AML", "lg-dz": b"\x32\x96\x18\x74"}
+    cases["unknown"] = b"\x1f\x8b\x00"
     df = spark.createDataFrame([(f"{k}.{k}", bytearray(v)) for k, v in cases.items()], "path string, content binary")
     assert {r["path"].split(".")[0]: r["kind"] for r in sniff.identify(df).collect()} == {k: k for k in cases}
 
