@@ -7,17 +7,17 @@ import hashlib
 import os
 import re
 import shutil
-import stat
 import struct
 import tarfile
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 from io import BytesIO
 from pathlib import Path
 
 import numpy as np
 
-from firmscope.sources.images import Refused, _take
+from firmscope.sources.images import READERS, Refused, _take
 
 BLOCK = 4096
 
@@ -97,6 +97,61 @@ def tar_files(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield m.name, t.extractfile(m).read()
 
 
+def zip_members(data) -> Iterator[dict]:
+    """Members of a zip in the order of its directory; links, devices and unsafe paths are
+    refused. ``offset`` is where a member's bytes begin, stored or packed."""
+    from firmscope.sources.remote import Remote
+
+    source = _File(data) if isinstance(data, Remote) else BytesIO(data)
+    try:
+        with zipfile.ZipFile(source) as z:
+            for m in z.infolist():
+                if m.is_dir():
+                    continue
+                if (kind := m.external_attr >> 28) not in (0, 0o10):
+                    raise Refused(f"{m.filename} is not a regular file (kind {kind:o})")
+                n_name, n_extra = struct.unpack("<HH", _take(data, m.header_offset + 26, 4))
+                yield {"path": safe_path(m.filename), "size": m.file_size, "packed": m.compress_size, "method": m.compress_type, "offset": m.header_offset + 30 + n_name + n_extra, "encrypted": bool(m.flag_bits & 1)}
+    except zipfile.BadZipFile as x:
+        raise Refused(str(x)) from x
+
+
+def zip_files(data: bytes, most: int = 1 << 31) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of a zip's files, each within a bound."""
+    rows = {r["path"]: r for r in zip_members(data)}
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        for m in z.infolist():
+            if not m.is_dir():
+                path = safe_path(m.filename)
+                if rows[path]["encrypted"] or m.file_size > most:
+                    raise Refused(f"{path} is encrypted or too large")
+                with z.open(m) as f:
+                    yield path, f.read(most)
+
+
+class _File:
+    """A file object over bytes that are read by ranges."""
+
+    def __init__(self, data):
+        self._data, self._at = data, 0
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self._at = at + (0, self._at, len(self._data))[whence]
+        return self._at
+
+    def tell(self) -> int:
+        return self._at
+
+    def seekable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        end = len(self._data) if n is None or n < 0 else self._at + n
+        out = bytes(self._data[self._at : end])
+        self._at += len(out)
+        return out
+
+
 def safe_path(path: str) -> str:
     """The path without ``.`` parts; absolute paths, ``..`` and NUL are refused."""
     parts = [p for p in path.split("/") if p not in ("", ".")]
@@ -105,14 +160,6 @@ def safe_path(path: str) -> str:
     return "/".join(parts)
 
 
-def refuse_blocking(path: str) -> str:
-    """The path, unless opening it could wait forever: FIFOs and sockets are refused."""
-    mode = os.stat(path).st_mode
-    if stat.S_ISFIFO(mode) or stat.S_ISSOCK(mode):
-        raise Refused(f"{path} is a FIFO or socket")
-    return path
-
-
 def joined_pieces(names: Iterable[str], part: str) -> tuple[list[str], bool]:
     """(data files of a partition in reading order, whether they are brotli data): the
     whole file, else numbered pieces, which must follow each other from 0 or 1."""
@@ -152,3 +199,11 @@ def publish(files: Iterable[tuple[str, bytes]], target: str, force: bool = False
         shutil.rmtree(staging, ignore_errors=True)
         raise
     return n
+
+
+def _tar_rows(data) -> Iterator[dict]:
+    for path, content in tar_files(bytes(data[0 : len(data)])):
+        yield {"path": path, "size": len(content), "sha256": hashlib.sha256(content).hexdigest()}
+
+
+READERS |= {"tar": _tar_rows, "zip": zip_members}

@@ -1,4 +1,4 @@
-"""ext2, ext3 and ext4 images: entries without file data, and file data on demand.
+"""File systems of images (ext2, ext3, ext4; erofs and f2fs beside them): entries without file data, and file data on demand.
 
 The reader seeks in the image by block and never loads it whole, so images may
 be larger than any buffer. Entries come first; contents are read only for the
@@ -12,25 +12,21 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from firmscope.operators.schema import ENTRY
 from firmscope.sources.images import Refused
+from firmscope.sources.remote import open_remote
+from firmscope.sources.tree import KINDS, MAX_DEPTH, MAX_ENTRIES, MAX_FILE, XATTR_PREFIX, Tree, device
 
-MAX_ENTRIES = 1_000_000
-MAX_DEPTH = 128
-MAX_FILE = 1 << 31
-
-# fixed values: kinds by mode bits, name spaces of extended attributes
-KINDS = {0x1: "fifo", 0x2: "char", 0x4: "dir", 0x6: "block", 0x8: "file", 0xA: "symlink", 0xC: "socket"}
-XATTR_PREFIX = {1: "user.", 2: "system.posix_acl_access", 3: "system.posix_acl_default", 4: "trusted.", 6: "security.", 7: "system.", 8: "system.richacl"}
 _EXTENTS, _INLINE = 0x80000, 0x10000000
 _64BIT, _META_BG, _FILETYPE = 0x80, 0x10, 0x2
 
 
-class Image:
-    """One file system over ``read_at(offset, size)``."""
+class Image(Tree):
+    """One ext file system over ``read_at(offset, size)``."""
+
+    root = 2
 
     def __init__(self, read_at: Callable[[int, int], bytes], size: int):
         self._read, self.size = read_at, size
@@ -180,44 +176,22 @@ class Image:
             link = (inode[0x28 : 0x28 + size] if inner else self.data(inode, ino)).decode("utf-8", "backslashreplace")
         elif kind in ("char", "block"):
             old, new = struct.unpack_from("<II", inode, 0x28)
-            rdev = {"major": old >> 8 & 0xFF, "minor": old & 0xFF} if old else {"major": new >> 8 & 0xFFF, "minor": new & 0xFF | new >> 12 & 0xFFF00}
+            rdev = device(old, new)
         return {
             "path": path, "kind": kind, "mode": mode & 0o7777, "uid": uid | struct.unpack_from("<H", inode, 0x78)[0] << 16, "gid": gid | struct.unpack_from("<H", inode, 0x7A)[0] << 16, "size": self.file_size(inode),
             "mtime": mtime, "ino": ino, "nlink": links, "link": link, "rdev": rdev, "xattrs": [(k, v.rstrip(b"\0").decode("utf-8", "backslashreplace")) for k, v in self.xattrs(inode).items() if k != "system.data"],
         }
 
-    def walk(self) -> Iterator[dict]:
-        """All entries below the root, sorted by path; loops and runaways are refused."""
-        found: list[dict] = []
-
-        def visit(path: str, ino: int, above: frozenset[int]) -> None:
-            if ino in above or len(above) > MAX_DEPTH:
-                raise Refused(f"{path or '/'} loops")
-            for name, child in sorted(self.children(self.inode(ino), ino).items()):
-                inner = f"{path}/{name}" if path else name
-                e = self.entry(inner, child, self.inode(child))
-                found.append(e)
-                if len(found) > MAX_ENTRIES:
-                    raise Refused("too many entries")
-                if e["kind"] == "dir":
-                    visit(inner, child, above | {ino})
-
-        visit("", 2, frozenset())
-        yield from sorted(found, key=lambda e: e["path"].encode())
-
-    def find(self, path: str) -> tuple[int, bytes]:
-        ino = 2
-        for name in path.split("/"):
-            ino = self.children(self.inode(ino), ino).get(name, 0)
-            if not ino:
-                raise Refused(f"no such path: {path}")
-        return ino, self.inode(ino)
 
+def open_image(path: str) -> Tree:
+    """The file system of an image, by its superblock."""
+    from firmscope.sources.erofs import Erofs
+    from firmscope.sources.f2fs import F2fs
 
-def open_image(path: str) -> Image:
-    where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    f = where.open_input_file(inner)
-    return Image(lambda at, n: f.read_at(n, at), f.size())
+    f = open_remote(path)
+    head = f[1024:1028]
+    kind = F2fs if head == b"\x10\x20\xf5\xf2" else Erofs if head == b"\xe2\xe1\xf5\xe0" else Image
+    return kind(lambda at, n: f[at : at + n], len(f))
 
 
 def read_entries(images: DataFrame) -> DataFrame:
@@ -232,7 +206,7 @@ def read_entries(images: DataFrame) -> DataFrame:
             for image, location in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     rows = [dict.fromkeys(names) | e | {"image": image} for e in open_image(location).walk()]
-                except (Refused, OSError, struct.error) as x:
+                except (Refused, OSError, ValueError, struct.error) as x:
                     rows = [dict.fromkeys(names) | {"image": image, "error": str(x)}]
                 yield pa.RecordBatch.from_pylist(rows, types)
 
@@ -255,7 +229,7 @@ def read_contents(images: DataFrame, wanted: DataFrame) -> DataFrame:
                     ino, inode = open_[location].find(path)
                     data = open_[location].data(inode, ino)
                     row = (image, path, data, hashlib.sha256(data).hexdigest(), None)
-                except (Refused, OSError, struct.error) as x:
+                except (Refused, OSError, ValueError, struct.error) as x:
                     row = (image, path, None, None, str(x))
                 yield pa.RecordBatch.from_pylist([dict(zip(types.names, row, strict=True))], types)
 

@@ -31,6 +31,12 @@ def _take(data: bytes, at: int, n: int) -> bytes:
     return data[at : at + n]
 
 
+def _inside(data: bytes, at: int, n: int) -> None:
+    """Refuse a range outside of the data, without reading it."""
+    if at < 0 or n < 0 or at + n > len(data):
+        raise Refused(f"{n} bytes at {at} are outside of {len(data)}")
+
+
 def _unpack(fmt: str, data: bytes, at: int = 0) -> tuple:
     return struct.unpack(fmt, _take(data, at, struct.calcsize(fmt)))
 
@@ -53,7 +59,7 @@ def sparse_chunks(data: bytes) -> Iterator[dict]:
         wanted = {"raw": blocks * block, "fill": 4, "skip": 0, "crc32": 4}[SPARSE_KINDS[kind]]
         if size - chunk_head != wanted:
             raise Refused(f"chunk {n} has the wrong size")
-        _take(data, body, wanted)
+        _inside(data, body, wanted)
         yield {"n": n, "kind": SPARSE_KINDS[kind], "blocks": blocks, "begin": out_block * block, "offset": body, "size": wanted}
         out_block += 0 if SPARSE_KINDS[kind] == "crc32" else blocks
         at += size
@@ -61,18 +67,45 @@ def sparse_chunks(data: bytes) -> Iterator[dict]:
         raise Refused(f"{out_block} blocks instead of {total}")
 
 
-def unsparse(data: bytes) -> bytes:
+#: Images larger than this are refused, whatever their header says.
+MAX_IMAGE = 64 << 30
+_PIECE = 4 << 20
+
+
+def sparse_pieces(data: bytes, check: bool = True) -> Iterator[tuple[int, bytes]]:
+    """(begin, bytes) of what a sparse image writes, in pieces; holes are left out."""
     block, total = _unpack("<II", data, 12)
-    out = bytearray()
+    if block * total > MAX_IMAGE:
+        raise Refused("the image is too large")
+    crc = 0
     for c in sparse_chunks(data):
-        if c["kind"] == "raw":
-            out += data[c["offset"] : c["offset"] + c["size"]]
-        elif c["kind"] == "fill":
-            out += data[c["offset"] : c["offset"] + 4] * (c["blocks"] * block // 4)
-        elif c["kind"] == "skip":
-            out += bytes(c["blocks"] * block)
-        elif zlib.crc32(out) != _unpack("<I", data, c["offset"])[0]:
-            raise Refused("checksum mismatch")
+        size = c["blocks"] * block
+        if c["kind"] == "crc32":
+            if check and crc != _unpack("<I", data, c["offset"])[0]:
+                raise Refused("checksum mismatch")
+            continue
+        fill = data[c["offset"] : c["offset"] + 4] if c["kind"] == "fill" else b"\0\0\0\0"
+        for at in range(0, size, _PIECE):
+            n = min(_PIECE, size - at)
+            piece = data[c["offset"] + at : c["offset"] + at + n] if c["kind"] == "raw" else fill * (n // 4)
+            crc = zlib.crc32(piece, crc) if check else 0
+            if c["kind"] != "skip":
+                yield c["begin"] + at, piece
+
+
+def unsparse(*inputs: bytes, most: int = 1 << 31) -> bytes:
+    """The whole image of one sparse file, or of several that overlay each other: they
+    must agree on the size, and checksums count only where there is one file."""
+    sizes = {_unpack("<II", data, 12) for data in inputs}
+    if len(sizes) != 1:
+        raise Refused("the files are not of one image")
+    block, total = sizes.pop()
+    if block * total > most:
+        raise Refused("the image is too large for one buffer; take its pieces")
+    out = bytearray(block * total)
+    for data in inputs:
+        for at, piece in sparse_pieces(data, check=len(inputs) == 1):
+            out[at : at + len(piece)] = piece
     return bytes(out)
 
 
@@ -113,8 +146,13 @@ def _protobuf(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 PAYLOAD_OPS = {0: "replace", 1: "replace_bz", 4: "source_copy", 5: "source_bsdiff", 6: "zero", 7: "discard", 8: "replace_xz", 14: "replace_zstd"}
 
 
+MAX_BLOB = 512 << 20
+
+
 def payload_operations(data: bytes) -> Iterator[dict]:
-    """Operations of an update payload: partition, kind, destination and data ranges."""
+    """Operations of an update payload: partition, kind, source, destination and data
+    ranges, with the size and hash that the partition is to have (no hash where the
+    device adds a hash tree or error correction to it)."""
     magic, version, size, _ = _unpack(">4sQQI", data)
     if magic != b"CrAU" or version != 2 or size > 64 << 20:
         raise Refused("not a version 2 payload")
@@ -137,61 +175,91 @@ def payload_operations(data: bytes) -> Iterator[dict]:
             raise Refused(f"bad partition name {name!r}")
         seen.add(name.lower())
         covered: list[tuple[int, int]] = []
+        info = dict(_protobuf(b"".join(v for f, v in fields if f == 7 and isinstance(v, bytes))))
+        size, digest = int(info.get(1, 0)), info[2].hex() if isinstance(info.get(2), bytes) else None
+        if size > MAX_IMAGE:
+            raise Refused(f"{name}: the image is too large")
+        if any(f in (11, 15) for f, _ in fields):
+            digest = None
         for n, op in enumerate(v for f, v in fields if f == 8 and isinstance(v, bytes)):
             plain: dict[int, int | bytes] = {}
-            extents = []
+            extents, source = [], []
             for f, v in _protobuf(op):
-                if f == 6 and isinstance(v, bytes):
+                if f in (4, 6) and isinstance(v, bytes):
                     e = dict(_protobuf(v))
-                    extents.append((int(e.get(1, 0)) * block, int(e.get(2, 0)) * block))
+                    (extents if f == 6 else source).append((int(e.get(1, 0)) * block, int(e.get(2, 0)) * block))
                 else:
                     plain[f] = v
             kind = PAYLOAD_OPS.get(int(plain.get(1, 0)))
             if kind is None:
                 raise Refused(f"{name}: unknown operation {plain.get(1)}")
             offset, length = blob + int(plain.get(2, 0)), int(plain.get(3, 0))
-            if kind.startswith("replace"):
-                _take(data, offset, length)
+            if kind.startswith("replace") or kind == "source_bsdiff":
+                if length > MAX_BLOB:
+                    raise Refused(f"{name}: the data of an operation is too large")
+                _inside(data, offset, length)
             covered += [(b, b + s) for b, s in extents]
-            yield {"partition": name, "n": n, "kind": kind, "offset": offset, "length": length, "extents": extents, "sha256": plain[8].hex() if isinstance(plain.get(8), bytes) else None}
+            if max((b + s for b, s in extents), default=0) > (size if size else MAX_IMAGE):
+                raise Refused(f"{name}: an operation writes behind the image's end")
+            yield {"partition": name, "n": n, "kind": kind, "offset": offset, "length": length, "extents": extents, "source": source, "sha256": plain[8].hex() if isinstance(plain.get(8), bytes) else None, "image_size": size, "image_sha256": digest}
         covered.sort()
         if any(a[1] > b[0] for a, b in zip(covered, covered[1:], strict=False)):
             raise Refused(f"{name}: destinations overlap")
 
 
-def payload_image(data: bytes, partition: str) -> bytes:
-    """The bytes of one partition of a full payload; hashes of operations are checked."""
-    out = bytearray()
+def operation_bytes(op: dict, raw: bytes, base: Callable[[int, int], bytes] | None = None) -> bytes:
+    """What one operation writes, checked against its hash and its destination's size;
+    ``base`` reads the image before the update, for operations that copy or patch it."""
+    size = sum(n for _, n in op["extents"])
+    if op["sha256"] and hashlib.sha256(raw).hexdigest() != op["sha256"]:
+        raise Refused(f"operation {op['n']}: hash mismatch")
+    kind = op["kind"]
+    if kind in ("zero", "discard"):
+        return bytes(size)
+    if kind == "replace":
+        body = raw
+    elif kind == "replace_bz":
+        body = bz2.BZ2Decompressor().decompress(raw, size + 1)
+    elif kind == "replace_xz":
+        body = lzma.LZMADecompressor().decompress(raw, size + 1)
+    elif kind == "replace_zstd":
+        import zstandard
+
+        body = zstandard.ZstdDecompressor().stream_reader(raw).read(size + 1)
+    elif base is None:
+        raise Refused(f"{kind} needs the image before the update")
+    else:
+        old = b"".join(base(at, n) for at, n in op["source"])
+        if kind == "source_copy":
+            body = old
+        else:
+            from firmscope.sources.archives import bspatch
+
+            body = bspatch(old, raw)
+    if len(body) > size:
+        raise Refused(f"operation {op['n']} is longer than its destination")
+    return body + bytes(size - len(body))
+
+
+def payload_image(data: bytes, partition: str, base: bytes | None = None, most: int = 1 << 31) -> bytes:
+    """The bytes of one partition, for images that fit one buffer; ``base`` is the image
+    before the update. Hashes of operations and of the whole image are checked."""
+    out, digest = bytearray(), None
+    before = None if base is None else lambda at, n: _take(base, at, n)
     for op in payload_operations(data):
         if op["partition"] != partition:
             continue
-        size = sum(s for _, s in op["extents"])
-        raw = data[op["offset"] : op["offset"] + op["length"]]
-        if op["sha256"] and hashlib.sha256(raw).hexdigest() != op["sha256"]:
-            raise Refused(f"operation {op['n']}: hash mismatch")
-        if op["kind"] in ("zero", "discard"):
-            body = bytes(size)
-        elif op["kind"] == "replace":
-            body = raw
-        elif op["kind"] == "replace_bz":
-            body = bz2.decompress(raw)
-        elif op["kind"] == "replace_xz":
-            body = lzma.decompress(raw)
-        elif op["kind"] == "replace_zstd":
-            import zstandard
-
-            body = zstandard.ZstdDecompressor().decompress(raw, max_output_size=size)
-        else:
-            raise Refused(f"{op['kind']} needs the source image")
-        if len(body) > size:
-            raise Refused(f"operation {op['n']} is longer than its destination")
-        at = 0
+        digest = op["image_sha256"]
+        body, at = operation_bytes(op, data[op["offset"] : op["offset"] + op["length"]], before), 0
         for begin, n in op["extents"]:
+            if begin + n > most:
+                raise Refused("the image is too large for one buffer; take its operations")
             if len(out) < begin + n:
                 out.extend(bytes(begin + n - len(out)))
-            piece = body[at : at + n]
-            out[begin : begin + len(piece)] = piece
+            out[begin : begin + n] = body[at : at + n]
             at += n
+    if digest and hashlib.sha256(out).hexdigest() != digest:
+        raise Refused(f"{partition}: the image's hash is wrong")
     return bytes(out)
 
 
@@ -287,7 +355,9 @@ def decompressed_ramdisk(data: bytes) -> bytes:
 
         return zstandard.ZstdDecompressor().decompressobj().decompress(data)
     if data[:4] in (b"\x02\x21\x4c\x18", b"\x04\x22\x4d\x18"):
-        raise Refused("lz4 ramdisks can't be read here")
+        from firmscope.sources import lz4
+
+        return lz4.decompress(data)
     return data
 
 
@@ -322,9 +392,12 @@ def boot_sections(data: bytes) -> Iterator[dict]:
 
 def super_partitions(data: bytes) -> Iterator[dict]:
     """Partitions of a super image with their extents (512-byte sectors)."""
-    geometry = _take(data, 4096, 52)
-    magic, size = struct.unpack_from("<II", geometry)
-    if magic != 0x616C4467 or hashlib.sha256(geometry[:8] + bytes(32) + geometry[40:size]).digest() != geometry[8:40]:
+    for where in (4096, 8192):  # the second one is a copy
+        geometry = _take(data, where, 52)
+        magic, size = struct.unpack_from("<II", geometry)
+        if magic == 0x616C4467 and size == 52 and hashlib.sha256(geometry[:8] + bytes(32) + geometry[40:size]).digest() == geometry[8:40]:
+            break
+    else:
         raise Refused("no geometry")
     head_at = 4096 + 2 * 4096
     magic, major, _, head_size = _unpack("<IHHI", data, head_at)
@@ -352,6 +425,19 @@ def super_partitions(data: bytes) -> Iterator[dict]:
         yield {"name": name, "first": first, "count": count, "size": sum(n for n, *_ in mine) * 512, "extents": [[n * 512, kind, at * 512] for n, kind, at, _ in mine]}
 
 
+def super_slice(data: bytes, partition: dict, at: int, size: int) -> bytes:
+    """A range of a partition of ``super_partitions``, from its extents; zero ones are zeros."""
+    out, begin = [], 0
+    for length, kind, where in partition["extents"]:
+        low, high = max(at, begin), min(at + size, begin + length)
+        if low < high:
+            out.append(bytes(_take(data, where + low - begin, high - low)) if kind == 0 else bytes(high - low))
+        begin += length
+    if at < 0 or size < 0 or at + size > begin:
+        raise Refused(f"{size} bytes at {at} are outside of the partition")
+    return b"".join(out)
+
+
 # fixed values: descriptor kinds of vbmeta
 DESCRIPTORS = {0: "property", 1: "hashtree", 2: "hash", 3: "kernel_cmdline", 4: "chain_partition"}
 
@@ -435,20 +521,50 @@ READERS: dict[str, Callable[[bytes], Iterator[dict]]] = {
 }
 
 
+#: What a reader may raise on bytes that aren't what it reads.
+BROKEN = (Refused, ValueError, struct.error, IndexError, KeyError, EOFError, StopIteration, RecursionError, lzma.LZMAError, zlib.error, OSError)
+
+
+def _reader(name: str) -> Callable:
+    """The reader of a kind; modules add theirs to ``READERS`` when they are imported."""
+    from firmscope.sources import apk, archives, avb, bootparts, ext, vendor, x509  # noqa: F401
+
+    return READERS[name]
+
+
+def _parsed(name: str, parse: Callable, data) -> pa.RecordBatch:
+    try:
+        rows, error = [json.dumps(r) for r in parse(data)], None
+    except BROKEN as x:
+        rows, error = [None], f"{type(x).__name__}: {x}"
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.string()), pa.array([error] * len(rows), pa.string())], ["path", "row", "error"])
+
+
 def read(files: DataFrame, reader: str, path: str = "path", content: str = "content") -> DataFrame:
     """(path, row, error): one JSON row for each thing found, or one error row a file.
 
     Parse ``row`` with ``from_json`` and the schema wanted. files: path, content.
     """
-    parse = READERS[reader]
+    parse = _reader(reader)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                try:
-                    rows, error = [json.dumps(r) for r in parse(data.as_py() or b"")], None
-                except (Refused, ValueError, struct.error, IndexError, EOFError, StopIteration, lzma.LZMAError, zlib.error, OSError) as x:
-                    rows, error = [None], f"{type(x).__name__}: {x}"
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.string()), pa.array([error] * len(rows), pa.string())], ["path", "row", "error"])
+                yield _parsed(name, parse, data.as_py() or b"")
 
     return files.select(path, content).mapInArrow(run, "path string, row string, error string")
+
+
+def read_located(files: DataFrame, reader: str, path: str = "path", location: str = "location") -> DataFrame:
+    """Like ``read``, but of files by their location: only the ranges that the reader
+    asks for are fetched, so a file may have any size."""
+    from firmscope.sources.remote import open_remote
+
+    parse = _reader(reader)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield _parsed(name, lambda w: parse(open_remote(w)), where)
+
+    return files.select(path, location).mapInArrow(run, "path string, row string, error string")
