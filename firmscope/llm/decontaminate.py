@@ -178,8 +178,9 @@ def decontaminate(
     window: int = WINDOW,
     gram: int = GRAM,
     block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row a document: id, n_words, spans, items.
+    """One row a document: id, n_words, spans, items, and the columns to carry along.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
     ``spans`` are the disjoint [start, end) word ranges inside any occurrence of
@@ -188,6 +189,7 @@ def decontaminate(
     documents give a row each.
     """
     item_type = bench.schema[item_col].dataType
+    others = [c for c in carry if c not in (id_col, text_col)]
     out = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
@@ -195,10 +197,11 @@ def decontaminate(
             T.StructField("n_words", T.LongType()),
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
             T.StructField("items", T.ArrayType(item_type)),
+            *[T.StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(others)],
         ]
     )
     spark = docs.sparkSession
-    state = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(out["spans"].dataType).alias("spans"), F.lit(None).cast(out["items"].dataType).alias("items"))
+    state = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(out["spans"].dataType).alias("spans"), F.lit(None).cast(out["items"].dataType).alias("items"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)])
     for block, last in _blocks(bench, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(block)
         del block
@@ -209,16 +212,17 @@ def decontaminate(
                 if index is None:
                     index = TestIndex(sent.value.column(1).combine_chunks(), window, gram)
                     ids = sent.value.column(0).combine_chunks()
-                yield _scan(b, index, ids, last)
+                yield _scan(b, index, ids, last and text_col not in carry)
 
         state = state.mapInArrow(run, out)
         if not last:
             state = saved(state, "decontaminate")
             sent.unpersist()
-    return state.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.array().cast(out["spans"].dataType)).alias("spans"), F.coalesce("items", F.array().cast(out["items"].dataType)).alias("items"))
+    carried = [F.col("text").alias(text_col)] * (text_col in carry) + [F.col(f"_{k}").alias(c) for k, c in enumerate(others)]
+    return state.select(F.col("id").alias(id_col), *carried, "n_words", F.coalesce("spans", F.array().cast(out["spans"].dataType)).alias("spans"), F.coalesce("items", F.array().cast(out["items"].dataType)).alias("items"))
 
 
-def _scan(b: pa.RecordBatch, index: TestIndex, ids: pa.Array, last: bool) -> pa.RecordBatch:
+def _scan(b: pa.RecordBatch, index: TestIndex, ids: pa.Array, drop_text: bool) -> pa.RecordBatch:
     """Add what a block of items hits to a batch (id, text, n_words, spans, items)."""
     spans: list[list[dict] | None] = b.column(3).to_pylist() if b.column(3).null_count < len(b) else [None] * len(b)
     items: list[list | None] = b.column(4).to_pylist() if b.column(4).null_count < len(b) else [None] * len(b)
@@ -242,7 +246,7 @@ def _scan(b: pa.RecordBatch, index: TestIndex, ids: pa.Array, last: bool) -> pa.
             mine = item[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
             rows = index.rows[tk.ranges(index.rows_of[mine], index.rows_of[mine + 1] - index.rows_of[mine])]
             items[at + d] = list(dict.fromkeys((items[at + d] or []) + ids.take(pa.array(rows)).to_pylist()))
-    text = pa.nulls(len(b), b.schema.field(1).type) if last else b.column(1)
+    text = pa.nulls(len(b), b.schema.field(1).type) if drop_text else b.column(1)
     return pa.RecordBatch.from_arrays(
-        [b.column(0), text, pa.array(n_words), pa.array(spans, b.schema.field(3).type), pa.array(items, b.schema.field(4).type)], ["id", "text", "n_words", "spans", "items"]
+        [b.column(0), text, pa.array(n_words), pa.array(spans, b.schema.field(3).type), pa.array(items, b.schema.field(4).type), *b.columns[5:]], b.schema.names
     )

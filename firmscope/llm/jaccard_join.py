@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from firmscope.llm import textkernel as tk
 from firmscope.llm.components import connected_components
-from firmscope.llm.shared import n_parts, need, saved
+from firmscope.llm.shared import n_parts, need, row_key, saved
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -49,7 +49,7 @@ _HASH_BITS = 52
 _HASH = np.uint64((1 << _HASH_BITS) - 1)
 _BLOCKS = 4
 
-_DOC = T.StructType([T.StructField(c, t) for c, t in (("row", T.LongType()), ("n", T.LongType()), ("node", T.LongType()), ("token", T.LongType()), ("seen", T.LongType()))])
+_DOC = T.StructType([T.StructField(c, t) for c, t in (("row", T.LongType()), ("key", T.LongType()), ("n", T.LongType()), ("node", T.LongType()), ("token", T.LongType()), ("seen", T.LongType()))])
 _BLOB = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("nodes", T.BinaryType()), T.StructField("entries", T.BinaryType())])
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<u4"), ("at", "<u4")])
 _NODE = np.dtype([("node", "<i8"), ("n", "<i4"), ("level", "<i4")])
@@ -94,11 +94,11 @@ def _nodes(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(row, n, node) of every document, and the shingles that several sets of the batch share."""
+    """(row, key, n, node) of every document, and the shingles that several sets of the batch share."""
     for b in batches:
         seen: set[int] = set()
         tokens, ns, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, to, data, offsets in _chunks(b.column(1)):
+        for at, to, data, offsets in _chunks(b.column(2)):
             token, doc = shingle_sets(data, offsets, k)
             n = np.bincount(doc, minlength=to - at)
             node = _nodes(token, doc, n)
@@ -112,8 +112,8 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         many = count >= 3
         none = lambda size: pa.nulls(size, pa.int64())
         m, d = int(many.sum()), len(b)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(ns)), pa.array(np.concatenate(nodes)), none(d), none(d)], _DOC.names)
-        yield pa.RecordBatch.from_arrays([none(m), none(m), none(m), pa.array(t[edge][many].astype(np.int64)), pa.array(count[many])], _DOC.names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(ns)), pa.array(np.concatenate(nodes)), none(d), none(d)], _DOC.names)
+        yield pa.RecordBatch.from_arrays([none(m), none(m), none(m), none(m), pa.array(t[edge][many].astype(np.int64)), pa.array(count[many])], _DOC.names)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -417,21 +417,21 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row a document: id, n_shingles, node, component_id, size.
+    """One row a document: id, n_shingles, node, component_id, size, root, key.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text after lower-casing A-Z;
     the set holds the distinct shingles of k words, or the whole sequence where
     there are fewer. Documents link where 100 * intersection >= percent * union;
     ``component_id`` is the smallest id reachable by links, ``size`` the number of
-    rows in the component, ``node`` the class of equal sets (null if empty). A
-    document without words or text links with nothing and is its own component.
+    rows in the component, ``node`` the class of equal sets, ``root`` the component's
+    smallest node (both null if empty), ``key`` the hash of id and text. A document without words or text links with nothing and is its own component.
     Repeated rows are classes like any others; rows without id link by text, and
     a component of such rows alone has no id. Ids are integers.
     """
     spark = docs.sparkSession
-    base = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    base = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("row"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
     survey = saved(base.mapInArrow(lambda it: _survey(it, k), _DOC), "jaccard-survey")
-    rows = survey.where(F.col("node").isNotNull()).select("row", "n", "node")
+    rows = survey.where(F.col("node").isNotNull()).select("row", "key", "n", "node")
     order = Order(*frequent_tokens(survey.where(F.col("token").isNotNull()), MAX_FREQUENT), percent)
     sent = spark.sparkContext.broadcast(order)
     n_blocks = _BLOCKS * n_parts(spark)
@@ -467,14 +467,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = rows.where(F.col("node") != 0).groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("size"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("row").alias("component_id"), F.sum("size").alias("size"))
-    named = classes.select("node", "root").join(whole, "root").select("node", "component_id", "size")
-    out = rows.join(named, "node", "left")
-    empty = F.col("node") == 0
-    return out.select(
-        F.col("row").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(~empty, F.col("node")).alias("node"),
-        F.when(empty, F.col("row")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(empty, F.lit(1)).otherwise(F.col("size")).cast("long").alias("size"),
-    )
-
+    named = classes.select("node", "root").join(whole, "root").select("node", "root", "component_id", "size")
+    found = rows.where("node <> 0").join(named, "node")
+    none = F.lit(None).cast("long")
+    empty = rows.where("node = 0").select(none.alias("node"), "row", "key", "n", none.alias("root"), F.col("row").alias("component_id"), F.lit(1).cast("long").alias("size"))
+    out = found.unionByName(empty)
+    return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), "node", "component_id", F.col("size").cast("long").alias("size"), "root", "key")

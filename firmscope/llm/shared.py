@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmscope.tables import new_path, shared_dir  # noqa: F401
+
 #: Bytes that a batch between the JVM and Python holds at most while a table is saved.
 BATCH_BYTES = 16 << 20
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-_cleaned: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a temporary folder
-    if the session runs in one process (tests), set for the session so that later
-    calls agree; on a cluster that would lose rows, so it is an error there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="firmscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the application's own part of the shared folder, which goes when it ends."""
-    folder = f"{shared_dir(spark)}/firmscope-{spark.sparkContext.applicationId}"
-    if folder not in _cleaned:
-        _cleaned.add(folder)
-        atexit.register(_remove, spark, folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone by now; the folder is then the cluster's to clean
-        pass
 
 
 @contextmanager
@@ -86,3 +53,8 @@ def blocks_by_size(df: DataFrame, block_bytes: int) -> int:
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns; what else the caller's table holds never travels."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def row_key(ident: Column, text: Column) -> Column:
+    """A hash of id and text that tells rows apart whose ids don't."""
+    return F.xxhash64(F.coalesce(ident.cast("string"), F.lit("-")), F.coalesce(text, F.lit("")))

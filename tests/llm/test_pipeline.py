@@ -89,3 +89,22 @@ def test_stages(spark, tmp_path):
         assert {i: r["text"] for i, r in got.items()} == wanted, name
         assert all(r["n_chars"] == len(r["text"]) for r in got.values())
         state = wanted
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, rows without id, repeated ids and rows, columns with clashing names."""
+    folder = str(tmp_path)
+    tables(spark, folder)
+    r = random.Random(4)
+    text = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    one, two = text(60), text(70)
+    near = " ".join(one.split(" ")[:-2] + ["x", "y"])
+    rows = [(None, one), (None, near), (None, one), (7, two), (7, two), (7, text(50)), (9, two + " more"), (None, None), (3, ""), (None, text(45))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "r") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, _row string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder).collect()
+    texts = sorted((str(x["doc_id"]), (x["text"] or "")[:9]) for x in kept)
+    assert len(kept) == 6 and [i for i, _ in texts] == ["3", "7", "7", "None", "None", "None"] and len({t for i, t in texts if i == "None"} & {one[:9]}) == 1
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        assert stage(spark, docs, folder).columns[:5] == list(corpus_pipeline.COLUMNS), name
+        assert {x["doc_id"] for x in stage(spark, docs, folder).collect()} <= {None, 3, 7, 9}, name
