@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmscope.llm import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup
-from firmscope.llm.shared import new_path
+from firmscope.llm.shared import new_path, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _ROW = "_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias(_ROW))
+    return docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias(_ROW))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents that with the smallest id stays."""
-    classes = jaccard_join.similarity_classes(docs)
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return _keyed(docs).join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([_ROW]).select(*COLUMNS)
+    """Of each group of similar documents that with the smallest id stays (one without
+    id only where none has one); documents without words are groups of their own."""
+    classes = jaccard_join.similarity_classes(docs.select(*COLUMNS))
+    first = classes.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    stays = first.select(F.col("first.key").alias(_ROW)).union(classes.where("root is null").select("key"))
+    return _keyed(docs).join(stays, _ROW, "left_semi").dropDuplicates([_ROW]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +57,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    keyed = _keyed(docs)
-    found = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=_ROW)
-    return keyed.join(found.where(F.size("spans") > 0).select(_ROW).distinct(), _ROW, "left_anti").select(*COLUMNS)
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
+    return found.where(F.size("spans") == 0).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
