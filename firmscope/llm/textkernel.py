@@ -8,6 +8,7 @@ sequence, so byte-level splitting equals code-point-level splitting.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,11 @@ CHUNK_BYTES = 1 << 20
 #: Bytes whose words are hashed at once.
 HASH_BYTES = 1 << 17
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library keeps its own ways
+    _libc = None
+
 _SPACES = (0x20, *range(0x09, 0x0E))
 _GOLDEN = 0x9E3779B97F4A7C15
 _STEP = 0xD1342543DE82EF95  # odd base of the positional word hash
@@ -191,6 +197,15 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         to = min(max(to, at + 1), n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    if len(data) > limit:
+        _give_back()
+
+
+def _give_back() -> None:
+    """Hand free memory back to the system: a worker lives on beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def bucket(h: np.ndarray, n: int) -> np.ndarray:
