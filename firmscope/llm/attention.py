@@ -126,6 +126,10 @@ class Counts:
     def add(self, v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> None:
         """Texts as ids with ``first`` offsets; each has its end appended here."""
         x, y, _ = sequences(v, ids, first)
+        self.add_pairs(v, x, y)
+
+    def add_pairs(self, v: Vocabulary, x: np.ndarray, y: np.ndarray) -> None:
+        """Count the subwords y after the subwords x."""
         np.add.at(self.pair.reshape(-1), v.class_of[x] * (v.size + 1) + y, 1)
         np.add.at(self.follow.reshape(-1), v.row_of[x] * CLASSES + v.class_of[y], 1)
 
@@ -222,19 +226,21 @@ class Model:
         }
         return m
 
-    def forward(self, rows: np.ndarray, valid: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, dict]:
+    def forward(self, rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, dict]:
         """Class logits of the kept positions of windows [n, WIDTH]; masked attention."""
         p = self.p
-        h = p["embed"][rows] + p["place"]
-        q, k, v = (np.dot(h.reshape(-1, DIM), p[name]).reshape(h.shape) for name in ("query", "key", "value"))
+        h = p["embed"][rows]
+        h += p["place"]
+        qkv = h.reshape(-1, DIM) @ np.concatenate([p["query"] * np.float32(DIM**-0.5), p["key"], p["value"]], 1)
+        q, k, v = (qkv.reshape(*rows.shape, 3 * DIM)[:, :, j * DIM : (j + 1) * DIM] for j in range(3))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(DIM**-0.5)
-        a += _FUTURE
-        a -= a.max(-1, keepdims=True)
+        np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
+        a *= _PAST
+        a /= np.matmul(a, _ONES)
         c = np.matmul(a, v)
-        z = (h + c @ p["out"])[keep]
+        z = h + (c.reshape(-1, DIM) @ p["out"]).reshape(h.shape)
+        z = z[keep]
         u = np.maximum(z @ p["up"] + p["up_bias"], 0)
         f = z + u @ p["down"]
         logits = f @ p["head"]
@@ -277,8 +283,8 @@ class Model:
             logits += p["bias"]
             logits += self.table[rows[keep]]
             i = where[keep]
-            chosen = logits[np.arange(len(i)), class_of[i]]
             np.minimum(logits, 80, out=logits)
+            chosen = logits[np.arange(len(i)), class_of[i]]
             np.exp(logits, out=logits)
             score = chosen - np.log(logits @ ones) + shares[i]
             out += np.bincount(np.repeat(t, keep.sum(1)), score, len(out))
@@ -290,6 +296,7 @@ class Model:
         self.looked = None
         text, begin, skip = windows(offsets)
         rng, reach = np.random.default_rng(seed), np.arange(WIDTH)
+        rows_of, class_of = self.vocabulary.row_of[x], self.vocabulary.class_of[y]
         total, decays = epochs * -(-len(text) // batch), adam is None
         adam = adam or Adam.start(self.p)
         for _ in range(epochs):
@@ -297,43 +304,50 @@ class Model:
             for at in range(0, len(order), batch):
                 i = order[at : at + batch]
                 where = begin[i][:, None] + reach
-                valid = where < offsets[text[i] + 1][:, None]
+                keep = (where < offsets[text[i] + 1][:, None]) & (reach >= skip[i][:, None])
                 where = np.minimum(where, len(x) - 1)
-                keep = valid & (reach >= skip[i][:, None])
-                rows = self.vocabulary.row_of[x[where]]
-                grads = self._gradients(rows, valid, keep, self.vocabulary.class_of[y[where[keep]]])
+                grads = self._gradients(rows_of[where], keep, class_of[where[keep]])
                 step = adam.step + 1
                 adam.update(self.p, grads, rate * min(1, step / 50) * (1 - step / (total + 1) if decays else 1))
 
-    def _gradients(self, rows, valid, keep, target):
+    def _gradients(self, rows, keep, target):
         p = self.p
-        logits, s = self.forward(rows, valid, keep)
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        logits[np.arange(len(target)), target] -= 1
-        d = logits / np.float32(max(len(target), 1))
+        d, s = self.forward(rows, keep)
+        np.minimum(d, 80, out=d)
+        np.exp(d, out=d)
+        d /= d @ np.ones((CLASSES, 1), np.float32)
+        d[np.arange(len(target)), target] -= 1
+        d *= np.float32(1 / max(len(target), 1))
         df = d @ p["head"].T
-        du = (df @ p["down"].T) * (s["u"] > 0)
-        dz = df + du @ p["up"].T
+        du = df @ p["down"].T
+        du *= s["u"] > 0
         full = np.zeros_like(s["h"])
-        full[keep] = dz
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        dc = full @ p["out"].T
+        full[keep] = df + du @ p["up"].T
+        flat = full.reshape(-1, DIM)
+        dc = (flat @ p["out"].T).reshape(full.shape)
         da = np.matmul(dc, s["v"].transpose(0, 2, 1))
-        dv = np.matmul(s["a"].transpose(0, 2, 1), dc)
-        ds = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = np.matmul(ds, s["k"]), np.matmul(ds.transpose(0, 2, 1), s["q"])
-        dh = full + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
+        back = np.empty((len(flat), 3 * DIM), np.float32)
+        dq, dk, dv = (back.reshape(*rows.shape, 3 * DIM)[:, :, j * DIM : (j + 1) * DIM] for j in range(3))
+        np.matmul(s["a"].transpose(0, 2, 1), dc, out=dv)
+        da *= s["a"]
+        da -= s["a"] * np.matmul(da, _ONES)  # the scores' gradient
+        np.matmul(da, s["k"], out=dq)
+        np.matmul(da.transpose(0, 2, 1), s["q"], out=dk)
+        scaled = np.concatenate([p["query"] * np.float32(DIM**-0.5), p["key"], p["value"]], 1)
+        dh = flat + back @ scaled.T
+        by = s["h"].reshape(-1, DIM).T @ back
+        order = np.argsort(rows.ravel(), kind="stable")
+        row = rows.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         embed = np.zeros_like(p["embed"])
-        np.add.at(embed, rows.ravel(), flat(dh))
+        embed[row[first]] = np.add.reduceat(dh[order], first, 0)
         return {
             "embed": embed,
-            "place": dh.sum(0),
-            "query": flat(s["h"]).T @ flat(dq),
-            "key": flat(s["h"]).T @ flat(dk),
-            "value": flat(s["h"]).T @ flat(dv),
-            "out": flat(s["c"]).T @ flat(full),
+            "place": dh.reshape(full.shape).sum(0),
+            "query": by[:, :DIM] * np.float32(DIM**-0.5),
+            "key": by[:, DIM : 2 * DIM],
+            "value": by[:, 2 * DIM :],
+            "out": s["c"].reshape(-1, DIM).T @ flat,
             "up": s["z"].T @ du,
             "up_bias": du.sum(0),
             "down": s["u"].T @ df,
@@ -343,3 +357,5 @@ class Model:
 
 
 _FUTURE = np.where(np.arange(WIDTH)[None, :] > np.arange(WIDTH)[:, None], np.float32(-1e9), np.float32(0))
+_PAST = (_FUTURE == 0).astype(np.float32)
+_ONES = np.ones((WIDTH, 1), np.float32)

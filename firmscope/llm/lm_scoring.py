@@ -1,7 +1,9 @@
 """LM scoring: a count model over words, and causal self-attention over subwords.
 
 Everything counted covers all training documents: word counts for the base
-score, and the subword classes, rows and tables of ``attention``. Frequent words
+score, and the subword classes, rows and tables of ``attention``. Training texts
+are encoded once, to a table of subword ids by training round; all passes that
+learn read that. Frequent words
 are counted in the map tasks in a table of fixed size; the others travel once, as
 packed hashes, to the block that counts them, and send their documents partial
 sums. The attention weights learn from every window of every training document,
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from firmscope.llm import attention
 from firmscope.llm import textkernel as tk
-from firmscope.llm.shared import n_parts, need, saved
+from firmscope.llm.shared import n_parts, need, new_path, saved, small_batches
 from firmscope.llm.token_counts import PATTERN
 
 #: Documents (by a hash of the id) whose words are candidates for FREQUENT. This
@@ -135,9 +137,9 @@ class FrequentWords:
         return out
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, vocabulary: attention.Vocabulary, frequent: FrequentWords, n_blocks: int) -> Iterator[pa.RecordBatch]:
-    """Per batch the other words as blobs by block; per task the tables, by slice."""
-    counts, listed = attention.Counts.empty(vocabulary), np.zeros(len(frequent.words), np.int64)
+def _count(batches: Iterator[pa.RecordBatch], frequent: FrequentWords, n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Per batch the other words as blobs by block; per task the listed words, by slice."""
+    listed = np.zeros(len(frequent.words), np.int64)
     any_rows = False
 
     def batch(out: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -158,11 +160,6 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, vocabulary: attention.V
             e = np.zeros(int(rare.sum()), _ENTRY)
             e["word"], e["row"] = h[rare], doc[rare] + at
             entries.append(e)
-            if train.any():
-                ids, first = subwords(w, h, path)
-                n = np.diff(first)
-                used = ids[np.repeat(train, n)]
-                counts.add(vocabulary, used, np.concatenate([[0], np.cumsum(n[train])]))
         e = np.concatenate(entries)
         block = tk.bucket(e["word"], n_blocks)
         order = np.argsort(block, kind="stable")
@@ -175,7 +172,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, vocabulary: attention.V
                 out.append((k, rows[used].tobytes(), mine.tobytes()))
         yield batch(out)
     if any_rows:
-        yield batch([(-1 - k, b"", c) for k, c in _cells(np.concatenate([listed, counts.follow.ravel(), counts.pair.ravel()]))])
+        yield batch([(-1 - k, b"", c) for k, c in _cells(listed)])
 
 
 def _cells(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -322,22 +319,22 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     base = need(docs, id_col, text_col).select(ident.alias("id"), F.xxhash64(text).alias("key"), train.alias("train"), text.alias("text"))
 
     size = _encoding(path).n_vocab
-    vocabulary, frequent = _vocabulary(base, path, size), _frequent(base)
+    encoded = _encoded(base, path, size)
+    vocabulary = _vocabulary(encoded, size)
+    model = attention.Model.start(vocabulary, _counts(encoded, vocabulary))
+    model.p, _ = _trained(encoded, model)
+
+    frequent = _frequent(base)
     ends = base.where("train").count()
-    sent = spark.sparkContext.broadcast((vocabulary, frequent))
+    sent = spark.sparkContext.broadcast(frequent)
     n_blocks = _BLOCKS * n_parts(spark)
-    shape = [len(frequent.words), vocabulary.n_rows * attention.CLASSES, attention.CLASSES * (size + 1)]
-    blobs = base.mapInArrow(lambda it: _count(it, path, *sent.value, n_blocks), _BLOB)
+    blobs = base.mapInArrow(lambda it: _count(it, sent.value, n_blocks), _BLOB)
     dealt = blobs.repartition(n_parts(spark), "block").sortWithinPartitions("block")
-    parts = saved(dealt.mapInArrow(lambda it: _reduce(it, sum(shape), n_blocks), _PART), "lm-parts")
-
-    table = np.zeros(sum(shape), np.int64)
+    parts = saved(dealt.mapInArrow(lambda it: _reduce(it, len(frequent.words), n_blocks), _PART), "lm-parts")
+    listed = np.zeros(len(frequent.words), np.int64)
     for cells in parts.where("cells is not null").select("cells").toArrow()["cells"]:
         c = np.frombuffer(cells.as_buffer(), _CELL)
-        table[c["at"]] = c["n"]
-    listed, follow, pair = np.split(table, np.cumsum(shape)[:-1])
-    model = attention.Model.start(vocabulary, attention.Counts(pair.reshape(attention.CLASSES, -1), follow.reshape(-1, attention.CLASSES)))
-    model.p, _ = _trained(base, path, model)
+        listed[c["at"]] = c["n"]
     rare = parts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
     total = int(listed.sum()) + rare["total"] + ends
     distinct = int((listed > 0).sum()) + rare["words"] + (ends > 0)
@@ -361,19 +358,49 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     )
 
 
-def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The subwords of texts, as (ids, first), in pieces of bounded size."""
+_IDS = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+
+
+def _encoded(base: DataFrame, path: str, size: int) -> DataFrame:
+    """(first, ids) of all training texts, a row for each chunk and training round, in a
+    table that is laid out by round."""
+    spark, kind = base.sparkSession, np.uint16 if size < 1 << 16 else np.uint32
+    draw = F.pmod(F.xxhash64(F.lit("round"), "id", "key"), F.lit(1 << (ROUNDS - 1)))
+    round_of = F.when(draw == 0, 0).otherwise(F.floor(F.log2(draw.cast("double"))) + 1).cast("int")
+    texts = base.where("train").select(round_of.alias("round"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rounds = b.column(0).to_numpy()
+            for at, to, data, offsets in tk.chunks(b.column(1), _CHUNK):
+                w = tk.words(data, offsets, tk.LOWER)
+                ids, first = subwords(w, w.hashes(), path)
+                ids, n, out = ids.astype(kind), np.diff(first), []
+                for k in range(ROUNDS):
+                    mine = rounds[at:to] == k
+                    if mine.any():
+                        out.append((k, np.concatenate([[0], np.cumsum(n[mine])]).tobytes(), ids[np.repeat(mine, n)].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], _IDS.names)
+
+    where = new_path(spark, "lm-ids")
+    with small_batches(spark):
+        texts.mapInArrow(run, _IDS).write.partitionBy("round").parquet(where)
+    return spark.read.schema(_IDS).parquet(where)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The subwords of texts, as (ids, first), chunk by chunk."""
+    kind = np.uint16 if size < 1 << 16 else np.uint32
     for b in batches:
-        for _, _, data, offsets in tk.chunks(b.column(0), _CHUNK):
-            w = tk.words(data, offsets, tk.LOWER)
-            yield subwords(w, w.hashes(), path)
+        for first, ids in zip(b.column(0), b.column(1), strict=True):
+            yield np.frombuffer(ids.as_buffer(), kind).astype(np.int64), np.frombuffer(first.as_buffer(), np.int64)
 
 
-def _round(batches: Iterator[pa.RecordBatch], path: str, model: attention.Model, rate: float, groups: int) -> Iterator[pa.RecordBatch]:
+def _round(batches: Iterator[pa.RecordBatch], model: attention.Model, rate: float, groups: int) -> Iterator[pa.RecordBatch]:
     """Train a copy of the model on a task's texts."""
     model = replace(model, p={k: w.copy() for k, w in model.p.items()})
     adam, n = attention.Adam.start(model.p), 0
-    for ids, first in _texts(batches, path):
+    for ids, first in _texts(batches, model.vocabulary.size):
         x, y, offsets = attention.sequences(model.vocabulary, ids, first)
         model.train(x, y, offsets, rate=rate, batch=BATCH, adam=adam)
         n += len(x)
@@ -409,17 +436,15 @@ def _mean(parts: list[tuple[int, dict[str, np.ndarray]]]) -> tuple[int, dict[str
 _WEIGHTS = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("task", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
 
 
-def _trained(base: DataFrame, path: str, model: attention.Model) -> tuple[dict[str, np.ndarray], int]:
+def _trained(encoded: DataFrame, model: attention.Model) -> tuple[dict[str, np.ndarray], int]:
     """(weights, tokens): one pass over all training texts, in rounds of doubling size."""
-    spark = base.sparkSession
+    spark = encoded.sparkSession
     groups, tokens = math.isqrt(n_parts(spark)) + 1, 0
-    draw = F.pmod(F.xxhash64(F.lit("round"), "id", "key"), F.lit(1 << (ROUNDS - 1)))
     for k in range(ROUNDS):
-        least, end = (1 << k) >> 1, 1 << k
-        texts = base.where("train").where((draw >= least) & (draw < end)).select("text")
         sent = spark.sparkContext.broadcast(replace(model, share=None))
         rate = RATE * 0.75**k
-        rows = texts.mapInArrow(lambda it, sent=sent, rate=rate: _round(it, path, sent.value, rate, groups), _WEIGHTS)
+        texts = encoded.where(F.col("round") == k).select("first", "ids")
+        rows = texts.mapInArrow(lambda it, sent=sent, rate=rate: _round(it, sent.value, rate, groups), _WEIGHTS)
         means = rows.repartition(groups, "group").sortWithinPartitions("group", "task").mapInArrow(_averaged, _WEIGHTS)
         parts = [(r["n"], pickle.loads(r["weights"])) for r in sorted(means.collect(), key=lambda r: r["group"])]
         sent.unpersist()
@@ -430,19 +455,19 @@ def _trained(base: DataFrame, path: str, model: attention.Model) -> tuple[dict[s
     return model.p, tokens
 
 
-def _table(base: DataFrame, path: str, vocabulary: attention.Vocabulary, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+def _table(encoded: DataFrame, vocabulary: attention.Vocabulary, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
     """A table that all training texts add to, with the subwords x before the subwords y."""
-    spark, size = base.sparkSession, len(start())
+    spark, size = encoded.sparkSession, len(start())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = start()
-        for ids, first in _texts(batches, path):
+        for ids, first in _texts(batches, vocabulary.size):
             x, y, _ = attention.sequences(vocabulary, ids, first)
             add(table, x, y)
         for k, c in _cells(table):
             yield pa.RecordBatch.from_arrays([pa.array([-1 - k], pa.int32()), pa.array([b""], pa.binary()), pa.array([c], pa.binary())], _BLOB.names)
 
-    dealt = base.where("train").select("text").mapInArrow(run, _BLOB).repartition(n_parts(spark), "block").sortWithinPartitions("block")
+    dealt = encoded.select("first", "ids").mapInArrow(run, _BLOB).repartition(n_parts(spark), "block").sortWithinPartitions("block")
     table = np.zeros(size, np.int64 if size < 1 << 20 else np.uint32)
     for cells in dealt.mapInArrow(lambda it: _reduce(it, size, 1), _PART).where("cells is not null").select("cells").toArrow()["cells"]:
         c = np.frombuffer(cells.as_buffer(), _CELL)
@@ -450,15 +475,27 @@ def _table(base: DataFrame, path: str, vocabulary: attention.Vocabulary, start:
     return table
 
 
-def _vocabulary(base: DataFrame, path: str, size: int) -> attention.Vocabulary:
+def _vocabulary(encoded: DataFrame, size: int) -> attention.Vocabulary:
     """Subword classes and rows, from counts over all training texts."""
     blank = attention.Vocabulary(size, np.zeros(0), np.zeros(0))
 
     def add(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         table += np.bincount(y, minlength=size + 1)
 
-    contexts = attention.Contexts.of(_table(base, path, blank, lambda: np.zeros(size + 1, np.int64), add))
-    return contexts.vocabulary(_table(base, path, blank, contexts.empty, contexts.add))
+    contexts = attention.Contexts.of(_table(encoded, blank, lambda: np.zeros(size + 1, np.int64), add))
+    return contexts.vocabulary(_table(encoded, blank, contexts.empty, contexts.add))
+
+
+def _counts(encoded: DataFrame, v: attention.Vocabulary) -> attention.Counts:
+    """What follows what, counted over all training texts."""
+    empty = attention.Counts.empty(v)
+    cut = empty.pair.size
+
+    def add(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        attention.Counts(table[:cut].reshape(empty.pair.shape), table[cut:].reshape(empty.follow.shape)).add_pairs(v, x, y)
+
+    table = _table(encoded, v, lambda: np.zeros(cut + empty.follow.size, np.int32), add)
+    return attention.Counts(table[:cut].reshape(empty.pair.shape), table[cut:].reshape(empty.follow.shape))
 
 
 def _frequent(base: DataFrame) -> FrequentWords:
