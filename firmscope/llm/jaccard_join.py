@@ -18,6 +18,11 @@ that a large group of near copies never becomes all its pairs:
 
 The result is the same as if every pair had been compared: pairs left out lie
 in one component already or cannot reach the threshold.
+
+The list of a shingle that very many sets have in their prefixes is never one
+task's: its hub is found by a minimum and sent to all its members; in the second
+pass it is left out if it lies in one component, and else cut into slices whose
+pairs are compared by a task each.
 """
 
 from __future__ import annotations
@@ -45,6 +50,10 @@ LEVELS = (1, 2, 4, 8)
 #: Cost of verifying a candidate, in index entries read.
 VERIFY_COST = 64
 
+#: Entries from which on a list is split, and the most such lists whose hubs are
+#: broadcast (64 bytes each); the least length is raised until they fit.
+LONG_LIST, MAX_LONG = 1 << 14, 1 << 16
+
 _HASH_BITS = 52
 _HASH = np.uint64((1 << _HASH_BITS) - 1)
 _BLOCKS = 4
@@ -52,8 +61,8 @@ _BLOCKS = 4
 _DOC = T.StructType([T.StructField(c, t) for c, t in (("row", T.LongType()), ("key", T.LongType()), ("n", T.LongType()), ("node", T.LongType()), ("token", T.LongType()), ("seen", T.LongType()))])
 _BLOB = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("nodes", T.BinaryType()), T.StructField("entries", T.BinaryType())])
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<u4"), ("at", "<u4")])
-_NODE = np.dtype([("node", "<i8"), ("n", "<i4"), ("level", "<i4")])
-_SHARED = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("at", T.IntegerType())])
+_NODE = np.dtype([("node", "<i8"), ("end", "<i8"), ("n", "<i4"), ("level", "<i4")])
+_SHARED = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("end", T.LongType())])
 
 
 def needed(n, percent: int):
@@ -179,8 +188,9 @@ class Order:
             out[some] = np.where(self.token[i] == token[some], self.frequency[i], 0)
         return out
 
-    def prefixes(self, token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token, document, position) of the prefix entries, and each document's level."""
+    def prefixes(self, token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, document, position) of the prefix entries, each document's level, and
+        where in the global order its prefix ends (frequency, then the hash's high bits)."""
         weight = self.weights(token)
         order = np.lexsort((weight, doc)) if weight.any() else np.arange(len(token))
         token, weight = token[order], weight[order]
@@ -203,8 +213,11 @@ class Order:
             candidates = np.bincount(groups[met] // 64, heavy[inside][first[met]], len(n))
             now = np.where(x <= np.maximum(least, 1), read + VERIFY_COST * candidates, np.inf)
             level, cost = np.where(now < cost, x, level), np.minimum(now, cost)
-        keep = at < np.repeat(np.minimum(n - least + level, n), n)
-        return token[keep], doc[keep], at[keep], level
+        reach = np.minimum(n - least + level, n)
+        last = start + reach - 1
+        end = np.minimum(weight[last], (1 << 31) - 1) << 32 | (token[last] >> np.uint64(_HASH_BITS - 32)).astype(np.int64)
+        keep = at < np.repeat(reach, n)
+        return token[keep], doc[keep], at[keep], level, end
 
 
 def _prefix_blobs(batches: Iterator[pa.RecordBatch], k: int, order: Order, n_blocks: int) -> Iterator[pa.RecordBatch]:
@@ -217,10 +230,10 @@ def _prefix_blobs(batches: Iterator[pa.RecordBatch], k: int, order: Order, n_blo
             node = _nodes(token, doc, n)
             fresh = _fresh(node, seen)
             token, doc = token[fresh[doc]], (np.cumsum(fresh) - 1)[doc[fresh[doc]]]
-            token, doc, pos, level = order.prefixes(token, doc, n[fresh])
+            token, doc, pos, level, end = order.prefixes(token, doc, n[fresh])
             e, v = np.zeros(len(token), _ENTRY), np.zeros(int(fresh.sum()), _NODE)
             e["token"], e["node"], e["at"] = token, doc + base, pos
-            v["node"], v["n"], v["level"] = node[fresh], n[fresh], level
+            v["node"], v["end"], v["n"], v["level"] = node[fresh], end, n[fresh], level
             entries.append(e)
             nodes.append(v)
             base += len(v)
@@ -252,7 +265,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = token[1:] == token[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         token, at, v = token[keep], at[keep], v[keep]
-        return pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(v["node"].copy()), pa.array(v["n"].copy()), pa.array(v["level"].copy()), pa.array(at)], _SHARED.names)
+        return pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(v["node"].copy()), pa.array(v["n"].copy()), pa.array(v["level"].copy()), pa.array(at), pa.array(v["end"].copy())], _SHARED.names)
 
     for batch in batches:
         for x, v, e in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -265,11 +278,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-_COLUMNS = ("token", "node", "n", "level", "at", "live", "root")
+_COLUMNS = ("token", "cell", "node", "n", "level", "at", "end", "live", "root", "slice")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The index list of one shingle after the other, from rows sorted by shingle."""
+    """The index list of one shingle (or the part of it in one cell) after the other,
+    from rows sorted by shingle and cell."""
     left = None
     for b in batches:
         if not len(b):
@@ -277,7 +291,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         t = {c: b.column(i).to_numpy() for i, c in enumerate(_COLUMNS)}
         if left:
             t = {c: np.concatenate([left[c], t[c]]) for c in _COLUMNS}
-        edge = np.concatenate([[0], np.flatnonzero(t["token"][1:] != t["token"][:-1]) + 1, [len(t["token"])]])
+        new = (t["token"][1:] != t["token"][:-1]) | (t["cell"][1:] != t["cell"][:-1])
+        edge = np.concatenate([[0], np.flatnonzero(new) + 1, [len(t["token"])]])
         for x, y in zip(edge[:-2], edge[1:-1], strict=True):
             if y - x > 1:
                 yield {c: v[x:y] for c, v in t.items()}
@@ -286,13 +301,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         yield left
 
 
-def _can_link(n, live, at, i, j, percent: int, demand):
+def _can_link(t: dict[str, np.ndarray], i, j, percent: int, demand):
     """False for pairs that cannot reach the threshold: sizes too far apart, or too few
-    shingles left that other sets share (``live``). Nor does a list count towards the
-    ``demand`` shared shingles where it lies behind the prefixes that this very pair of
-    sizes needs, which are shorter than those of the sets alone."""
+    shingles that can be shared. Of two sets that whose prefix ends first in the global
+    order has all shared shingles of its prefix in the other's prefix too, so it shares
+    ``live`` at most: those, and what lies behind its prefix. (The other one may have
+    shared shingles in its prefix that the first has behind its own.) Nor does a list
+    count towards the ``demand`` shared shingles where it lies behind the prefixes that
+    this very pair of sizes needs, which are shorter than those of the sets alone."""
+    n, at, live, end = t["n"], t["at"], t["live"], t["end"]
     both = n[i].astype(np.int64) + n[j]
-    most = np.minimum(np.minimum(live[i], live[j]), np.minimum(n[i] - at[i], n[j] - at[j]) + demand - 1)
+    most = np.where(end[i] < end[j], live[i], np.where(end[j] < end[i], live[j], np.maximum(live[i], live[j])))
+    most = np.minimum(most, np.minimum(n[i] - at[i], n[j] - at[j]) + demand - 1)
     return (100 + percent) * most >= percent * both
 
 
@@ -304,7 +324,7 @@ def _hub_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     for t in _lists(batches):
         hub = np.full(len(t["node"]) - 1, np.lexsort((t["node"], -t["live"] / t["n"]))[0])
         rest = np.delete(np.arange(len(t["node"])), hub[0])
-        ok = _can_link(t["n"], t["live"], t["at"], hub, rest, percent, 1)
+        ok = _can_link(t, hub, rest, percent, 1)
         found.append(np.stack([t["node"][hub[ok]], t["node"][rest[ok]]], 1))
         size += len(found[-1])
         if size > 1 << 18:
@@ -313,6 +333,18 @@ def _hub_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     yield _pairs(found)
 
 
+def _long_hubs(entries: DataFrame, percent: int) -> DataFrame:
+    """What ``_hub_pairs`` gives, for long lists: the hub is a minimum over the list,
+    and travels to the members, of which no task holds more than its share."""
+    best = F.min(F.struct((-F.col("live") / F.col("n")).alias("rank"), "node", "n", "live", "at", "end")).alias("hub")
+    met = entries.join(F.broadcast(entries.groupBy("token").agg(best)), "token")
+    h = F.col("hub")
+    most = F.when(h["end"] < F.col("end"), h["live"]).when(F.col("end") < h["end"], F.col("live")).otherwise(F.greatest(h["live"], F.col("live")))
+    most = F.least(most, h["n"] - h["at"], F.col("n") - F.col("at"))
+    can = F.lit(100 + percent) * most >= F.lit(percent) * (h["n"] + F.col("n"))
+    return met.where((h["node"] != F.col("node")) & can).select(h["node"].alias("a"), F.col("node").alias("b"))
+
+
 _NEIGHBOURS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("demand", T.ArrayType(T.IntegerType()))])
 
 
@@ -338,7 +370,10 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             i = np.repeat(np.arange(at, to), count[at:to])
             j = tk.ranges(np.arange(at, to) + 1, count[at:to])
             demand = np.minimum(t["level"][i], t["level"][j])
-            ok = (t["root"][i] != t["root"][j]) & _can_link(n, t["live"], t["at"], i, j, percent, demand)
+            ok = (t["root"][i] != t["root"][j]) & _can_link(t, i, j, percent, demand)
+            if t["slice"][0] >= 0:
+                # A cell of two slices of a long list: only pairs between them.
+                ok &= t["slice"][i] != t["slice"][j]
             x, y = t["node"][i[ok]], t["node"][j[ok]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64), demand[ok]], 1))
             size += len(x)
@@ -416,7 +451,7 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
             yield pa.RecordBatch.from_arrays([some.column(0).filter(ok), some.column(1).filter(ok)], _LINK.names)
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, long_list: int = LONG_LIST) -> DataFrame:
     """One row a document: id, n_shingles, node, component_id, size, root, key.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text after lower-casing A-Z;
@@ -426,7 +461,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows in the component, ``node`` the class of equal sets, ``root`` the component's
     smallest node (both null if empty), ``key`` the hash of id and text. A document without words or text links with nothing and is its own component.
     Repeated rows are classes like any others; rows without id link by text, and
-    a component of such rows alone has no id. Ids are integers.
+    a component of such rows alone has no id. Ids are integers. ``long_list`` decides
+    which lists are split, not what is found.
     """
     spark = docs.sparkSession
     base = need(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("row"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
@@ -438,12 +474,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blobs = base.select("text").mapInArrow(lambda it: _prefix_blobs(it, k, sent.value, n_blocks), _BLOB)
     shared = saved(blobs.repartition(n_parts(spark), "block").sortWithinPartitions("block").mapInArrow(_shared, _SHARED), "jaccard-index")
 
-    # A set needs enough shingles that some other set has too; the rest of its prefix is its own.
+    # What a set can share with sets whose prefixes end behind its own: the shared part
+    # of its prefix, and all that follows.
     reach = F.least(F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("level"), F.col("n"))
     live = shared.groupBy("node").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("level").alias("level"))
-    live = live.withColumn("live", (F.col("n") - reach + F.col("hits")).cast("int"))
-    live = live.where(F.col("live") >= F.ceil(F.lit(percent) * F.col("n") / 100)).select("node", "live")
-    index = saved(shared.join(live, "node").select("token", "node", "n", "level", "at", "live"), "jaccard-live")
+    live = live.select("node", (F.col("n") - reach + F.col("hits")).cast("int").alias("live"))
+    index = saved(shared.join(live, "node").select("token", "node", "n", "level", "at", "end", "live"), "jaccard-live")
     # One text for each set that is still in, whoever holds it.
     held = base.select("text").mapInArrow(lambda it: _texts(it, k), _TEXT)
     texts = saved(held.join(live.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-texts")
@@ -454,13 +490,27 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, k, percent), _LINK)
 
     def lists(entries: DataFrame) -> DataFrame:
-        return entries.select(*_COLUMNS).repartition(n_parts(spark), "token").sortWithinPartitions("token")
-
-    hubs = lists(index.withColumn("root", F.col("node"))).mapInArrow(lambda it: _hub_pairs(it, percent), _LINK)
-    links = saved(verified(hubs.select("a", "b").distinct()), "jaccard-links")
+        return entries.select(*_COLUMNS).repartition(n_parts(spark), "token", "cell").sortWithinPartitions("token", "cell")
+
+    lengths = saved(index.groupBy("token").count().where(F.col("count") >= long_list), "jaccard-long")
+    least = long_list
+    while lengths.where(F.col("count") >= least).count() > MAX_LONG:
+        least *= 2
+    long = F.broadcast(lengths.where(F.col("count") >= least))
+    short = index.join(long, "token", "left_anti")
+    one = short.withColumn("root", F.col("node")).withColumn("cell", F.lit(0)).withColumn("slice", F.lit(-1))
+    hubs = lists(one).mapInArrow(lambda it: _hub_pairs(it, percent), _LINK)
+    links = saved(verified(hubs.unionByName(_long_hubs(index.join(long, "token"), percent)).distinct()), "jaccard-links")
     roots = connected_components(links)
-    rooted = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    cross = lists(rooted).mapInArrow(lambda it: _cross_pairs(it, percent), _NEIGHBOURS)
+    rooted = saved(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+    open_ = rooted.join(long, "token").groupBy("token").agg(F.max("count").alias("count")).where(F.min("root") != F.max("root")).select("token", "count")
+    cells = F.ceil(F.col("count") / F.lit(float(long_list))).cast("int")
+    split = rooted.join(F.broadcast(open_), "token").withColumn("_n", cells).withColumn("_s", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    split = split.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    low, high = F.least("_s", "_o"), F.greatest("_s", "_o")
+    split = split.withColumn("cell", low * F.col("_n") + high).withColumn("slice", F.when(low == high, F.lit(-1)).otherwise(F.col("_s")))
+    plain = rooted.join(long, "token", "left_anti").withColumn("cell", F.lit(0)).withColumn("slice", F.lit(-1))
+    cross = lists(plain.select(*_COLUMNS).unionByName(split.select(*_COLUMNS))).mapInArrow(lambda it: _cross_pairs(it, percent), _NEIGHBOURS)
     cross = cross.repartition(n_parts(spark), "a").sortWithinPartitions("a").mapInArrow(_enough, _LINK)
     roots = connected_components(links.unionByName(verified(cross)))
 

@@ -129,6 +129,41 @@ def test_op1_levels_change_nothing(spark, docs, rows, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_op1_long_lists(spark, docs, rows):
+    """Lists in cells find what whole lists find; near copies in chains of several groups."""
+    wanted = brute_components(rows)
+    for long_list in (2, 5):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(docs, long_list=long_list).collect()}
+        assert got == wanted
+    r = random.Random(5)
+    common = [f"c{k}" for k in range(70)]
+    many = [(k, " ".join(common[r.randint(0, 12) : 70 - r.randint(0, 12)] + [f"u{k}x{j}" for j in range(r.randint(0, 14))])) for k in range(60)]
+    wanted = brute_components(many)
+    assert 1 < len({c for _, c in wanted.values()}) < 60
+    frame = spark.createDataFrame(many, "doc_id long, text string").repartition(3)
+    for long_list in (8, 1 << 14):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(frame, long_list=long_list).collect()}
+        assert got == wanted
+
+
+def test_op1_at_the_threshold(spark):
+    """Nested sets of different sizes, at exactly the threshold and beside it: the smaller
+    one's shared shingles may all lie behind the larger one's prefix."""
+    r = random.Random(21)
+    rows = []
+    for k in range(0, 240, 2):
+        base = [f"t{k}w{j}" for j in range(r.randint(8, 120))]
+        n = len(base) - 4
+        cut = round(n * 0.25) + r.choice([-1, 0, 0, 1])
+        side = r.randint(0, cut)
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base[side : len(base) - (cut - side)] + [f"x{k}y{j}" for j in range(r.choice([0, 0, 1, 2]))]))]
+    wanted = brute_components(rows)
+    assert 20 < sum(c != i for i, (_, c) in wanted.items()) < 110
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.similarity_classes(docs).collect()}
+    assert got == wanted
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 240)]
