@@ -10,6 +10,7 @@ from firmscope.functions import exprs as X
 from firmscope.operators import device, diff, facts, ranges, report, rules, verified_boot
 from firmscope.queries import _ENTRIES, _PROPS, _SERVICES, entries, props, query, services, table
 from firmscope.sources import sniff
+from firmscope.sources import text as tx
 
 
 @query(
@@ -286,3 +287,52 @@ def q_sarif_rules(spark: SparkSession, sf: str) -> DataFrame:
 def q_case_allowed(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").selectExpr("p_brand image", "concat(p_name, case when p_partkey % 2 = 0 then 'A' else 'a' end) path").distinct()
     return report.case_collisions(p, "allow")
+
+
+@query(
+    """WITH e AS (SELECT 'i' || (o_custkey % 3) AS image, CASE WHEN o_orderkey % 4 = 0 THEN 'etc/' ELSE '' END || 'n' || o_orderkey AS path, CASE WHEN o_orderkey % 9 = 0 THEN 'dir' ELSE 'file' END AS kind FROM orders),
+h AS (SELECT image, path, kind, path AS name, row_number() OVER (PARTITION BY image ORDER BY kind <> 'dir', path) AS n, count(*) OVER (PARTITION BY image) AS total FROM e WHERE NOT contains(path, '/'))
+SELECT image, path, kind, name, CAST(greatest(total - 5000, 0) AS BIGINT) AS more FROM h WHERE n <= 5000"""
+)
+def q_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """What an explorer shows of the top folder: a top-k report."""
+    e = table(spark, sf, "orders").selectExpr("concat('i', o_custkey % 3) image", "concat(case when o_orderkey % 4 = 0 then 'etc/' else '' end, 'n', o_orderkey) path", "case when o_orderkey % 9 = 0 then 'dir' else 'file' end kind")
+    return report.listing(e)
+
+
+@query("SELECT 'p' || (l_orderkey % 50) AS path, l_returnflag AS partition, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS blob_bytes FROM lineitem GROUP BY ALL")
+def q_blob_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return report.blob_bytes(table(spark, sf, "lineitem").selectExpr("concat('p', l_orderkey % 50) path", "l_returnflag partition", "cast(l_quantity as bigint) length", "cast(null as string) error"))
+
+
+@query("SELECT page_id AS path, CASE WHEN page_id % 3 = 0 THEN 'no key=value entries' WHEN page_id % 7 = 0 THEN 'larger than 1 MiB' END AS error FROM pages WHERE page_id % 3 = 0 OR page_id % 7 = 0")
+def q_metadata_errors(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.when(F.col("page_id") % 3 == 0, "no entry").when(F.col("page_id") % 7 == 0, F.concat(F.lit("k="), F.repeat(F.lit("x"), 1 << 20))).otherwise("a=b")
+    return tx.metadata_errors(table(spark, sf, "pages").select(F.col("page_id").alias("path"), text.alias("text")))
+
+
+@query("SELECT page_id AS path, 'k' || (page_id % 4) AS key, 'v' || page_id || '=x' AS value FROM pages UNION ALL SELECT page_id, 'z', '2' FROM pages WHERE page_id % 5 = 0")
+def q_ota_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(F.lit("noise\n k"), (F.col("page_id") % 4).cast("string"), F.lit(" = v"), F.col("page_id").cast("string"), F.lit("=x \r\n"), F.when(F.col("page_id") % 5 == 0, "z=1\nz=2").otherwise(""))
+    return tx.ota_metadata(table(spark, sf, "pages").select(F.col("page_id").alias("path"), line.alias("text")))
+
+
+@query("SELECT o_orderkey AS path, r.i AS cmd_idx, CASE r.i WHEN 0 THEN 'new' WHEN 1 THEN 'zero' ELSE 'new' END AS cmd, r.b + o_orderkey % 10 AS begin, r.e + o_orderkey % 10 AS \"end\" FROM orders, (VALUES (0, 0, 4), (1, 4, 6), (1, 8, 9), (2, 20, 30)) r(i, b, e)")
+def q_transfer_list(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 10
+    n = lambda x: (k + x).cast("string")
+    text = F.concat(F.lit("4\n17\n0\n0\nnew 2,"), n(0), F.lit(","), n(4), F.lit("\nzero 4,"), n(4), F.lit(","), n(6), F.lit(","), n(8), F.lit(","), n(9), F.lit("\nnew 2,"), n(20), F.lit(","), n(30), F.lit("\n"))
+    return tx.transfer_list(table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), text.alias("text"))).select("path", "cmd_idx", "cmd", "begin", "end")
+
+
+@query("SELECT o_orderkey AS path, (30 + o_orderkey % 10) * 4096 AS size FROM orders")
+def q_image_size(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey path", "explode(array(4 + o_orderkey % 10, 30 + o_orderkey % 10, 9 + o_orderkey % 10)) end")
+    return tx.image_size(rows)
+
+
+@query("SELECT s_suppkey AS path, 'part' || s_suppkey AS label, CASE WHEN s_suppkey % 2 = 0 THEN 'f.img' END AS filename, s_suppkey * 256 AS start, CAST(17 + s_suppkey AS BIGINT) AS size FROM supplier")
+def q_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("# head\npart"), k.cast("string"), F.lit("\t0x"), F.lower(F.hex(k * 256)), F.lit("  "), (k + 17).cast("string"), F.when(k % 2 == 0, " f.img # note").otherwise(" # f"), F.lit("\nshort line\n"))
+    return tx.scatter(table(spark, sf, "supplier").select(k.alias("path"), text.alias("text")))

@@ -175,6 +175,26 @@ def sarif_document(findings: DataFrame, known: DataFrame, tool: str = "firmscope
     return json.dumps(body, indent=2, sort_keys=True, ensure_ascii=False)
 
 
+#: Children that a listing of one folder shows.
+MAX_CHILDREN = 5000
+
+
+def listing(entries: DataFrame, folder: str = "") -> DataFrame:
+    """Entries right below a folder of each image, folders first, by name, up to the cap;
+    ``more`` says how many there are beyond. The order is by path (bytes)."""
+    inner = F.substring_index("path", "/", -1)
+    parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    here = entries.where(parent == folder).withColumn("name", inner)
+    nth = F.row_number().over(Window.partitionBy("image").orderBy(F.col("kind") != "dir", "name"))
+    total = F.count("*").over(Window.partitionBy("image"))
+    return here.withColumn("_n", nth).withColumn("more", F.greatest(total - MAX_CHILDREN, F.lit(0))).where(F.col("_n") <= MAX_CHILDREN).drop("_n")
+
+
+def blob_bytes(operations: DataFrame) -> DataFrame:
+    """(path, partition, n, blob_bytes): operations and data bytes of each partition of a payload."""
+    return operations.where("error is null").groupBy("path", "partition").agg(F.count("*").alias("n"), F.sum("length").alias("blob_bytes"))
+
+
 #: What a command returns beside the gate's 0, 1 and 3.
 USAGE_ERROR, INTERRUPTED = 2, 130
 #: The severity from which on a command's gate counts, where none is given.

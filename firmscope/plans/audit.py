@@ -43,7 +43,10 @@ class Comparison:
 
 
 def compare(old: Build, new: Build, only: tuple[str, ...] = ()) -> Comparison:
-    """Changes and regressions; ``only`` filters the shown changes, never findings."""
+    """Changes and regressions; ``only`` filters the shown changes, never findings. A
+    status that doesn't exist is an error."""
+    if unknown := sorted(set(only) - {"added", "removed", "modified", "metadata"}):
+        raise ValueError(f"no such status: {', '.join(unknown)}")
     files = diff.file_changes(old.entries, new.entries)
     shown = files.where(files["status"].isin(*only)) if only else files.where("status <> 'unchanged'")
     return Comparison(shown, diff.prop_changes(old.props, new.props), diff.service_changes(old.services, new.services), diff.counts(files), diff.regressions(old.sides(), new.sides()))

@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+MAX_METADATA = 1 << 20
+
+
+def metadata_errors(files: DataFrame) -> DataFrame:
+    """(path, error) of metadata that is too large or has no entry; they are told, not skipped."""
+    error = F.when(F.octet_length("text") > MAX_METADATA, "larger than 1 MiB").when(~F.coalesce(F.col("text").contains("="), F.lit(False)), "no key=value entries")
+    return files.select("path", error.alias("error")).where("error is not null")
+
+
 def ota_metadata(files: DataFrame) -> DataFrame:
-    """(path, key, value) from ``k=v`` lines (files: path, text); the last duplicate counts."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.col("line").contains("="))
+    """(path, key, value) from ``k=v`` lines (files: path, text); the last duplicate counts.
+    Files in ``metadata_errors`` give no rows."""
+    lines = files.where(F.octet_length("text") <= MAX_METADATA).select("path", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.col("line").contains("="))
     trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     kv = lines.select("path", trim(F.substring_index("line", "=", 1)).alias("key"), trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("value"), "n")
     return kv.groupBy("path", "key").agg(F.max_by("value", "n").alias("value"))
