@@ -10,6 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firmscope.tables import saved
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value: str, out: str) -> DataFrame:
+    """Running total of ``value`` by keys in an order, including the row.
+
+    In two levels, so that a key of any size is many tasks' work: rows are dealt by
+    ranges of (keys, order), summed in their range, and each range starts from the
+    sums of the key's ranges before it. The dealt rows go to the shared folder, as
+    both levels must see the same ranges.
+    """
+    dealt = saved(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    total = dealt.withColumn("_inner", F.sum(value).over(inner)).join(sums, same)
+    return total.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_inner")).alias(out))
+
 
 def running_budget(df: DataFrame, keys: list[str], order: list[str | Column], size: str, limit: int, policy: str = "check-first") -> DataFrame:
     """Keep rows while a byte budget lasts, in order.
@@ -18,13 +40,10 @@ def running_budget(df: DataFrame, keys: list[str], order: list[str | Column], si
     (the last one may overshoot). ``stop``: rows from the first one that doesn't
     fit are out. Adds ``used``, the running total including the row.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    used = df.withColumn("used", F.sum(size).over(w))
-    if policy == "check-first":
-        return used.where(F.col("used") - F.col(size) < limit)
-    if policy == "stop":
-        return used.where(F.col("used") <= limit)
-    raise ValueError(f"unknown policy {policy}")
+    if policy not in ("check-first", "stop"):
+        raise ValueError(f"unknown policy {policy}")
+    used = running_sum(df, keys, order, size, "used")
+    return used.where(F.col("used") - F.col(size) < limit) if policy == "check-first" else used.where(F.col("used") <= limit)
 
 
 def skipping_budget(df: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
@@ -61,8 +80,7 @@ def overlaps(df: DataFrame, keys: list[str], start: Column, end: Column, ties: l
 
 def extent_offsets(df: DataFrame, keys: list[str], order: list[str | Column], length: str) -> DataFrame:
     """Where each extent begins when they are laid out one after the other."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("begin", F.coalesce(F.sum(length).over(w), F.lit(0)))
+    return running_sum(df, keys, order, length, "_end").withColumn("begin", F.col("_end") - F.col(length)).drop("_end")
 
 
 def index_range_join(owners: DataFrame, items: DataFrame, first: str, count: str, index: str, width: int = 1 << 16) -> DataFrame:
