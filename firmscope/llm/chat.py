@@ -51,7 +51,8 @@ def render(turns: DataFrame) -> DataFrame:
 
     ``segments`` are the pieces whose concatenation is ``formatted``, each with
     its loss flag: only assistant texts are learned. Turns come in turn order,
-    null first.
+    null first; rows without conv_id are one conversation. A conversation is one
+    row in the end, so it must fit a row (2 GB); other columns don't travel.
     """
     t = turns.select("conv_id", F.struct("turn", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
     grouped = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
@@ -90,7 +91,8 @@ def as_events(messages: DataFrame) -> DataFrame:
     """Replay finished messages (conv_id, turn, role, text) as the log that a chat
     service would have written: streamed in two deltas; every other turn was first
     generated otherwise and then regenerated, every third one edited at the end.
-    Rows are numbered by turn, role and text, so that repeats stay apart."""
+    Rows are numbered by turn, role and text, so that repeats stay apart: each is a
+    turn of its own."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     m = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(order).cast("long"))
     half = F.floor(F.char_length("text") / 2).cast("int")

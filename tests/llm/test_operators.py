@@ -205,6 +205,22 @@ def test_op2(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_op2_odd_rows(spark):
+    """Rows without conversation, turn, role or text; repeats and ties; a long text; clashing columns."""
+    long = "word <|im_end|> % " * 80_000
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", "b"), (5, 1, "user", "same"), (5, 1, "user", "same"), (5, 1, "assistant", None), (5, 2, None, long), (6, 1, "assistant", long)]
+    df = spark.createDataFrame([(*r, 9, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, seq long, kind string, segments string")
+    out = chat.format_chats(chat.as_events(df))
+    got = {r["conv_id"]: r for r in out.select("conv_id", "n_turns", "formatted", "segments", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in got.items()} == {
+        None: [("assistant", "b"), ("user", "a")],
+        5: [("assistant", ""), ("user", "same"), ("user", "same"), ("", long)],
+        6: [("assistant", long)],
+    }
+    assert {c: r["n_turns"] for c, r in got.items()} == {None: 2, 5: 4, 6: 1}
+    assert sum(s["loss"] for s in got[6]["segments"]) == 1 and got[6]["formatted"].count("<|im_end|>") == 1
+
+
 def test_op3(docs, rows, empty):
     from firmscope.llm.queries import tokenizer_path
 
