@@ -7,10 +7,17 @@ attention layer over the window (trained by Adam over the whole training corpus)
 subword's share of its class, given the last subword's class, is counted over
 the whole training corpus too. Both factors add up to one, so texts get proper
 probabilities.
+
+``forward`` is the plain form. What is trained and scored gives the same in fewer
+products: query times key map, and value times output map, are formed once a step,
+so scores are ``h M h'`` and what is attended to is ``h N``; positions that no one
+scores ask nothing; and windows are worked on in blocks that fit a core's cache.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,13 +78,13 @@ class Contexts:
 
     def add(self, table: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         """Count the subwords y after the subwords x."""
-        before = np.full(len(self.count), 255)
+        before = np.full(len(self.count), 255, np.int32)
         before[self.order[:255]] = np.arange(len(self.order[:255]))
-        place = np.full(len(self.count), -1)
-        place[self.middle] = np.arange(len(self.middle))
-        at = place[y]
-        some = at >= 0
-        np.add.at(table, at[some] * 256 + before[x[some]], 1)
+        place = np.full(len(self.count), -1, np.int32)
+        place[self.middle] = np.arange(len(self.middle)) * 256
+        at = place.take(y)
+        at += before.take(x) * (at >= 0)
+        _count(table, at[at >= 0])
 
     def vocabulary(self, table: np.ndarray, seed: int = 5) -> Vocabulary:
         size, middle, class_of = len(self.count) - 1, self.middle, self.class_of.copy()
@@ -130,8 +137,19 @@ class Counts:
 
     def add_pairs(self, v: Vocabulary, x: np.ndarray, y: np.ndarray) -> None:
         """Count the subwords y after the subwords x."""
-        np.add.at(self.pair.reshape(-1), v.class_of[x] * (v.size + 1) + y, 1)
-        np.add.at(self.follow.reshape(-1), v.row_of[x] * CLASSES + v.class_of[y], 1)
+        place = (v.class_of * (v.size + 1)).astype(np.int32).take(x)
+        place += y.astype(np.int32)
+        _count(self.pair.reshape(-1), place)
+        place = (v.row_of * CLASSES).astype(np.int32).take(x)
+        place += v.class_of.astype(np.int32).take(y)
+        _count(self.follow.reshape(-1), place)
+
+
+def _count(table: np.ndarray, place: np.ndarray) -> None:
+    """Count places in a large table; sorted, each place is looked up once. The order of ``place`` is used up."""
+    place.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(place), 1), bool), place[1:] != place[:-1]]))
+    table[place[first]] += np.diff(first, append=len(place)).astype(table.dtype)
 
 
 def sequences(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +175,8 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     return text, offsets[text] + k * STRIDE, np.where(k > 0, WIDTH - STRIDE, 0)
 
+#: Windows that are worked on at once: their arrays stay in a core's own cache.
+BLOCK = 64
 
 
 @dataclass
@@ -171,14 +191,67 @@ class Adam:
         return Adam({k: (np.zeros_like(w), np.zeros_like(w)) for k, w in p.items()})
 
     def update(self, p: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
+        """One step; the gradients' arrays are used up."""
         self.step += 1
+        # Both moments stand undivided here: 10 and 100 times what Adam calls them.
+        root = math.sqrt(0.01 / (1 - 0.99**self.step))
+        by, least = np.float32(rate * 0.1 / (1 - 0.9**self.step) / root), np.float32(1e-8 / root)
         for k, g in grads.items():
             m, s = self.moment[k]
-            m *= 0.9
-            m += 0.1 * g
-            s *= 0.99
-            s += 0.01 * g * g
-            p[k] -= (rate / (1 - 0.9**self.step)) * m / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-8)
+            m *= np.float32(0.9)
+            m += g
+            g *= g
+            s *= np.float32(0.99)
+            s += g
+            np.sqrt(s, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= by
+            p[k] -= g
+
+
+@dataclass
+class Block:
+    """Some windows that score from the same position ``q0`` on. ``kept``: the scored
+    positions of [n, WIDTH - q0], with their rows, the classes to be told, and where they stand."""
+
+    q0: int
+    rows: np.ndarray
+    kept: np.ndarray
+    row: np.ndarray
+    target: np.ndarray
+    at: np.ndarray
+
+
+@dataclass
+class Windows:
+    """The windows of texts, with the rows that go in and the classes to be told."""
+
+    rows_of: np.ndarray
+    class_of: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    skip: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def of(v: Vocabulary, x: np.ndarray, y: np.ndarray, offsets: np.ndarray) -> Windows:
+        text, begin, skip = windows(offsets)
+        rows_of = np.concatenate([v.row_of[x], np.full(WIDTH, v.row_of[v.size])])  # windows may reach beyond the last text
+        return Windows(rows_of, v.class_of[y], begin, offsets[text + 1], skip, text)
+
+    def blocks(self, i: np.ndarray, block: int = BLOCK) -> Iterator[tuple[Block, np.ndarray]]:
+        """Blocks of the windows i, and which windows are in each."""
+        later = self.skip[i] > 0
+        for q0, some in ((WIDTH - STRIDE, i[later]), (0, i[~later])):
+            for at in range(0, len(some), block):
+                j = some[at : at + block]
+                where = self.begin[j][:, None] + _REACH
+                rows = self.rows_of[where]
+                where = where[:, q0:]
+                kept = np.flatnonzero(where < self.end[j][:, None])
+                at_text = where.reshape(-1)[kept]
+                yield Block(q0, rows, kept, rows[:, q0:].reshape(-1)[kept], self.class_of[at_text], at_text), j
 
 
 @dataclass
@@ -187,7 +260,6 @@ class Model:
     share: np.ndarray = field(default=None)  # log of a subword's share of its class, after each class
     table: np.ndarray = field(default=None)  # class logits after each row
     p: dict[str, np.ndarray] = field(default_factory=dict)
-    looked: tuple | None = None
 
     @staticmethod
     def start(v: Vocabulary, counts: Counts, seed: int = 3) -> Model:
@@ -226,136 +298,155 @@ class Model:
         }
         return m
 
-    def forward(self, rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Class logits of the kept positions of windows [n, WIDTH]; masked attention."""
+    def forward(self, rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class logits, what they are made from) at the kept positions of windows
+        [n, WIDTH], map by map: the plain form of what is trained and scored."""
         p = self.p
-        h = p["embed"][rows]
+        h = p["embed"][rows] + p["place"]
+        q, k, v = h @ (p["query"] * np.float32(DIM**-0.5)), h @ p["key"], h @ p["value"]
+        a = np.exp(np.minimum(q @ k.transpose(0, 2, 1), 60)) * _PAST
+        a /= a.sum(-1, keepdims=True)
+        z = (h + a @ v @ p["out"])[keep]
+        f = z + np.maximum(z @ p["up"] + p["up_bias"], 0) @ p["down"]
+        return np.minimum(f @ p["head"] + p["bias"] + self.table[rows[keep]], 80), f
+
+    def _step(self) -> dict[str, np.ndarray]:
+        """What a step's blocks share."""
+        p = self.p
+        m = (p["query"] * np.float32(DIM**-0.5)) @ p["key"].T
+        n = p["value"] @ p["out"]
+        return {"m": m, "n": n, "m_back": np.ascontiguousarray(m.T), "n_back": np.ascontiguousarray(n.T), "head": np.concatenate([p["head"], p["bias"][None]])}
+
+    def _logits(self, b: Block, w: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple]:
+        """Class logits and what they are made from, which ends in a one for the bias."""
+        p = self.p
+        h = p["embed"].take(b.rows.reshape(-1), 0).reshape(*b.rows.shape, DIM)
         h += p["place"]
-        qkv = h.reshape(-1, DIM) @ np.concatenate([p["query"] * np.float32(DIM**-0.5), p["key"], p["value"]], 1)
-        q, k, v = (qkv.reshape(*rows.shape, 3 * DIM)[:, :, j * DIM : (j + 1) * DIM] for j in range(3))
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(a, 60, out=a)
+        g, v = np.matmul(h[:, b.q0 :], w["m"]), np.matmul(h, w["n"])
+        a = np.matmul(g, h.transpose(0, 2, 1))
+        _bounded(a, 60)
         np.exp(a, out=a)
-        a *= _PAST
-        a /= np.matmul(a, _ONES)
+        a *= _PAST[b.q0 :]
+        a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(*a.shape[:2], 1)
         c = np.matmul(a, v)
-        z = h + (c.reshape(-1, DIM) @ p["out"]).reshape(h.shape)
-        z = z[keep]
-        u = np.maximum(z @ p["up"] + p["up_bias"], 0)
-        f = z + u @ p["down"]
-        logits = f @ p["head"]
-        logits += p["bias"]
-        logits += self.table[rows[keep]]
-        return logits, {"h": h, "q": q, "k": k, "v": v, "a": a, "c": c, "z": z, "u": u, "f": f}
-
-    def scores(self, x: np.ndarray, y: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
-        """Natural log probability of each text of ``sequences``, in batches of windows.
-
-        Embedding and position enter queries, keys and values linearly, so their
-        products are looked up by row; the value table holds the output map too.
-        """
-        p = self.p
-        if self.looked is None:
-            w = np.concatenate([p["query"] * np.float32(DIM**-0.5), p["key"], p["value"] @ p["out"], np.eye(DIM, dtype=np.float32)], 1)
-            self.looked = (p["embed"] @ w, p["place"] @ w)
-        by_row, by_place = self.looked
+        z = (h[:, b.q0 :] + c).reshape(-1, DIM).take(b.kept, 0)
+        u = z @ p["up"]
+        u += p["up_bias"]
+        np.maximum(u, 0, out=u)
+        f = np.ones((len(z), DIM + 1), np.float32)
+        np.add(u @ p["down"], z, out=f[:, :DIM])
+        logits = f @ w["head"]
+        logits += self.table.take(b.row, 0)
+        _bounded(logits, 80)
+        return logits, (h, g, v, a, c, z, u, f)
+
+    def scores(self, x: np.ndarray, y: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """Natural log probability of each text of ``sequences``, in blocks of windows."""
         out = np.zeros(len(offsets) - 1)
-        text, begin, skip = windows(offsets)
-        reach, ones = np.arange(WIDTH), np.ones(CLASSES, np.float32)
-        past = (_FUTURE == 0).astype(np.float32)
-        rows_of, class_of = self.vocabulary.row_of[x], self.vocabulary.class_of[y]
-        shares = self.share[self.vocabulary.class_of[x], y]
-        for at in range(0, len(text), block):
-            t, b, s = text[at : at + block], begin[at : at + block], skip[at : at + block]
-            where = b[:, None] + reach
-            keep = (where < offsets[t + 1][:, None]) & (reach >= s[:, None])
-            rows = rows_of[np.minimum(where, len(x) - 1)]
-            h = by_row[rows] + by_place
-            a = np.matmul(h[:, :, :DIM], h[:, :, DIM : 2 * DIM].transpose(0, 2, 1))
-            np.minimum(a, 60, out=a)
-            np.exp(a, out=a)
-            a *= past
-            c = np.matmul(a, h[:, :, 2 * DIM : 3 * DIM])
-            c /= a.sum(-1, keepdims=True) + np.float32(1e-30)
-            z = (h[:, :, 3 * DIM :] + c)[keep]
-            f = z + np.maximum(z @ p["up"] + p["up_bias"], 0) @ p["down"]
-            logits = f @ p["head"]
-            logits += p["bias"]
-            logits += self.table[rows[keep]]
-            i = where[keep]
-            np.minimum(logits, 80, out=logits)
-            chosen = logits[np.arange(len(i)), class_of[i]]
+        every, w, v = Windows.of(self.vocabulary, x, y, offsets), self._step(), self.vocabulary
+        shares = self.share.reshape(-1).take(v.class_of[x] * (v.size + 1) + y)
+        score = np.empty(len(x), np.float32)
+        for b, _ in every.blocks(np.arange(len(every.text)), block):
+            logits, _ = self._logits(b, w)
+            chosen = logits.reshape(-1).take(np.arange(len(b.kept)) * CLASSES + b.target)
             np.exp(logits, out=logits)
-            score = chosen - np.log(logits @ ones) + shares[i]
-            out += np.bincount(np.repeat(t, keep.sum(1)), score, len(out))
+            score[b.at] = chosen - np.log(logits @ _ones(CLASSES))
+        score += shares
+        some = np.flatnonzero(np.diff(offsets))
+        out[some] = np.add.reduceat(score.astype(np.float64), offsets[some]) if len(some) else 0
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, offsets: np.ndarray, epochs: int = 1, rate: float = 3e-3, batch: int = 64, seed: int = 11, adam: Adam | None = None) -> None:
         """One pass or more of Adam over the windows of texts, in random order. Calls
         that hand on ``adam`` are parts of one run, whose rate does not decay."""
-        self.looked = None
-        text, begin, skip = windows(offsets)
-        rng, reach = np.random.default_rng(seed), np.arange(WIDTH)
-        rows_of, class_of = self.vocabulary.row_of[x], self.vocabulary.class_of[y]
-        total, decays = epochs * -(-len(text) // batch), adam is None
+        every = Windows.of(self.vocabulary, x, y, offsets)
+        rng, n = np.random.default_rng(seed), len(every.text)
+        total, decays = epochs * -(-n // batch), adam is None
         adam = adam or Adam.start(self.p)
         for _ in range(epochs):
-            order = rng.permutation(len(text))
-            for at in range(0, len(order), batch):
-                i = order[at : at + batch]
-                where = begin[i][:, None] + reach
-                keep = (where < offsets[text[i] + 1][:, None]) & (reach >= skip[i][:, None])
-                where = np.minimum(where, len(x) - 1)
-                grads = self._gradients(rows_of[where], keep, class_of[where[keep]])
+            order = rng.permutation(n)
+            for at in range(0, n, batch):
+                grads = self._gradients([b for b, _ in every.blocks(order[at : at + batch])])
                 step = adam.step + 1
                 adam.update(self.p, grads, rate * min(1, step / 50) * (1 - step / (total + 1) if decays else 1))
 
-    def _gradients(self, rows, keep, target):
-        p = self.p
-        d, s = self.forward(rows, keep)
-        np.minimum(d, 80, out=d)
-        np.exp(d, out=d)
-        d /= d @ np.ones((CLASSES, 1), np.float32)
-        d[np.arange(len(target)), target] -= 1
-        d *= np.float32(1 / max(len(target), 1))
-        df = d @ p["head"].T
-        du = df @ p["down"].T
-        du *= s["u"] > 0
-        full = np.zeros_like(s["h"])
-        full[keep] = df + du @ p["up"].T
-        flat = full.reshape(-1, DIM)
-        dc = (flat @ p["out"].T).reshape(full.shape)
-        da = np.matmul(dc, s["v"].transpose(0, 2, 1))
-        back = np.empty((len(flat), 3 * DIM), np.float32)
-        dq, dk, dv = (back.reshape(*rows.shape, 3 * DIM)[:, :, j * DIM : (j + 1) * DIM] for j in range(3))
-        np.matmul(s["a"].transpose(0, 2, 1), dc, out=dv)
-        da *= s["a"]
-        da -= s["a"] * np.matmul(da, _ONES)  # the scores' gradient
-        np.matmul(da, s["k"], out=dq)
-        np.matmul(da.transpose(0, 2, 1), s["q"], out=dk)
-        scaled = np.concatenate([p["query"] * np.float32(DIM**-0.5), p["key"], p["value"]], 1)
-        dh = flat + back @ scaled.T
-        by = s["h"].reshape(-1, DIM).T @ back
-        order = np.argsort(rows.ravel(), kind="stable")
-        row = rows.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        embed = np.zeros_like(p["embed"])
-        embed[row[first]] = np.add.reduceat(dh[order], first, 0)
-        return {
-            "embed": embed,
-            "place": dh.reshape(full.shape).sum(0),
-            "query": by[:, :DIM] * np.float32(DIM**-0.5),
-            "key": by[:, DIM : 2 * DIM],
-            "value": by[:, 2 * DIM :],
-            "out": s["c"].reshape(-1, DIM).T @ flat,
-            "up": s["z"].T @ du,
-            "up_bias": du.sum(0),
-            "down": s["u"].T @ df,
-            "head": s["f"].T @ d,
-            "bias": d.sum(0),
+    def _gradients(self, blocks: list[Block]) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss of the blocks' kept positions."""
+        p, w = self.p, self._step()
+        scale = np.float32(1 / max(sum(len(b.kept) for b in blocks), 1))
+        names = [k for k in p if k not in ("embed", "query", "key", "value", "out", "head", "bias")]
+        out = {k: np.zeros_like(p[k]) for k in names}
+        dm, dn, dhead = np.zeros_like(w["m"]), np.zeros_like(w["n"]), np.zeros_like(w["head"])
+        rows, moved = [], []
+        for b in blocks:
+            d, (h, g, v, a, c, z, u, f) = self._logits(b, w)
+            np.exp(d, out=d)
+            d *= (scale / (d @ _ones(CLASSES)))[:, None]
+            d.reshape(-1)[np.arange(len(d)) * CLASSES + b.target] -= scale
+            df = d @ p["head"].T
+            dhead += _product(f, d, 64)
+            out["down"] += _product(u, df)
+            du = df @ p["down"].T
+            du *= u > 0
+            out["up"] += _product(z, du)
+            out["up_bias"] += _ones(len(du)) @ du
+            df += du @ p["up"].T
+            full = np.zeros(c.shape, np.float32)
+            full.reshape(-1, DIM)[b.kept] = df
+            # Through the attention: its rows' sums of weight times gradient are c times the gradient.
+            da = np.matmul(full, v.transpose(0, 2, 1))
+            c *= full
+            da -= (c.reshape(-1, DIM) @ _ONES[:DIM]).reshape(*c.shape[:2], 1)
+            da *= a
+            dv = np.matmul(a.transpose(0, 2, 1), full)
+            dg = np.matmul(da, h)
+            dh = np.matmul(da.transpose(0, 2, 1), g)
+            dh += np.matmul(dv, w["n_back"])
+            full += np.matmul(dg, w["m_back"])
+            dh[:, b.q0 :] += full
+            dn += np.matmul(h.transpose(0, 2, 1), dv).sum(0)
+            dm += np.matmul(h[:, b.q0 :].transpose(0, 2, 1), dg).sum(0)
+            out["place"] += dh.sum(0)
+            rows.append(b.rows.reshape(-1))
+            moved.append(dh.reshape(-1, DIM))
+        root = np.float32(DIM**-0.5)
+        return out | {
+            "embed": _by_row(np.concatenate(rows), np.concatenate(moved), len(p["embed"])),
+            "query": dm @ p["key"] * root,
+            "key": dm.T @ p["query"] * root,
+            "value": dn @ p["out"].T,
+            "out": p["value"].T @ dn,
+            "head": dhead[:DIM],
+            "bias": dhead[DIM],
         }
 
 
-_FUTURE = np.where(np.arange(WIDTH)[None, :] > np.arange(WIDTH)[:, None], np.float32(-1e9), np.float32(0))
-_PAST = (_FUTURE == 0).astype(np.float32)
+def _by_row(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of x [n, DIM] by row; pairs of columns are added as complex numbers."""
+    out = np.zeros((size, x.shape[1]), np.float32)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    row = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    out[row[first]] = np.add.reduceat(x.take(order, 0).view(np.complex64), first, 0).view(np.float32)
+    return out
+
+
+def _product(x: np.ndarray, y: np.ndarray, rows: int = WIDTH) -> np.ndarray:
+    """x' y of long narrow arrays, by stacks of short ones, which is faster."""
+    n = len(x) // rows * rows
+    some = np.matmul(x[:n].reshape(-1, rows, x.shape[1]).transpose(0, 2, 1), y[:n].reshape(-1, rows, y.shape[1])).sum(0)
+    return some + x[n:].T @ y[n:]
+
+
+def _bounded(x: np.ndarray, most: float) -> None:
+    if x.size and x.max() > most:
+        np.minimum(x, most, out=x)
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+_REACH = np.arange(WIDTH)
+_PAST = (_REACH[None, :] <= _REACH[:, None]).astype(np.float32)
 _ONES = np.ones((WIDTH, 1), np.float32)

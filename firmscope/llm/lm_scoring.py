@@ -1,9 +1,9 @@
 """LM scoring: a count model over words, and causal self-attention over subwords.
 
 Everything counted covers all training documents: word counts for the base
-score, and the subword classes, rows and tables of ``attention``. Training texts
-are encoded once, to a table of subword ids by training round; all passes that
-learn read that. Frequent words
+score, and the subword classes, rows and tables of ``attention``. Texts are
+encoded once, to a table of subword ids by training round; all passes that learn,
+and the model's scoring, read that. Frequent words
 are counted in the map tasks in a table of fixed size; the others travel once, as
 packed hashes, to the block that counts them, and send their documents partial
 sums. The attention weights learn from every window of every training document,
@@ -98,18 +98,19 @@ def subwords(w: tk.Words, h: np.ndarray, path: str) -> tuple[np.ndarray, np.ndar
     if len(_cache[0]) > CACHE_SIZE // 2:
         _cache[1], _cache[0] = _cache[0], {}
     young, old = _cache
-    new = []
-    for i, k in enumerate(keys):
-        if k not in young:
-            if k in old:
-                young[k] = old[k]
-            else:
+    lists, new = list(map(young.get, keys)), []
+    for i, x in enumerate(lists):
+        if x is None:
+            x = old.get(keys[i])
+            if x is None:
                 new.append(i)
+            else:
+                young[keys[i]] = lists[i] = x
     if new:
         raw = w.mapped.tobytes().replace(b"\xff", b"\0")
         texts = [raw[s:e].decode("utf-8") for s, e in zip(w.starts[where[new]].tolist(), w.ends[where[new]].tolist(), strict=True)]
-        young.update(zip([keys[i] for i in new], _encode(texts, path), strict=True))
-    lists = [young[k] for k in keys]
+        for i, x in zip(new, _encode(texts, path), strict=True):
+            young[keys[i]] = lists[i] = x
     size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
     flat = np.frombuffer(b"".join(lists), np.uint32)
     begin = np.cumsum(size) - size
@@ -278,13 +279,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ARROW = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("words", pa.int64()), ("total", pa.int64()), ("cells", pa.binary())])
-_SCORE = T.StructType([T.StructField(c, t) for c, t in (("id", T.LongType()), ("key", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("part", T.DoubleType()), ("score", T.DoubleType()))])
+_BASE = T.StructType([T.StructField(c, t) for c, t in (("id", T.LongType()), ("key", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("part", T.DoubleType()))])
 
 
-def _score(batches: Iterator[pa.RecordBatch], path: str, model: attention.Model, frequent: FrequentWords, listed: np.ndarray, ends: int) -> Iterator[pa.RecordBatch]:
+def _base(batches: Iterator[pa.RecordBatch], frequent: FrequentWords, listed: np.ndarray, ends: int) -> Iterator[pa.RecordBatch]:
+    """What the listed words add to the base score."""
     logs = np.log10(listed + 0.1)
     for b in batches:
-        n, known, part, score = ([np.zeros(0)] for _ in range(4))
+        n, known, part = ([np.zeros(0)] for _ in range(3))
         for _, _, data, offsets in tk.chunks(b.column(3), _CHUNK):
             w = tk.words(data, offsets, tk.LOWER)
             h, doc = w.hashes(), w.doc()
@@ -294,10 +296,18 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, model: attention.Model,
             n.append(w.n_words + 1)
             known.append(np.bincount(doc[some], listed[place[some]] > 0, size) + (ends > 0))
             part.append(np.bincount(doc[some], logs[place[some]], size) + np.log10(ends + 0.1))
-            score.append(model.scores(*attention.sequences(model.vocabulary, *subwords(w, h, path))) / np.log(10))
         ints = lambda x: pa.array(np.concatenate(x).astype(np.int64))
         held_out = pa.array(~np.array(b.column(2), bool))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), held_out, ints(n), ints(known), pa.array(np.concatenate(part)), pa.array(np.concatenate(score))], _SCORE.names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), held_out, ints(n), ints(known), pa.array(np.concatenate(part))], _BASE.names)
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: attention.Model) -> Iterator[pa.RecordBatch]:
+    """Scores of the stored texts by the model."""
+    for b in batches:
+        for row, (ids, first) in zip(b.column(2), _texts([b], model.vocabulary.size), strict=True):
+            name = np.frombuffer(row.as_buffer(), _NAME)
+            score = model.scores(*attention.sequences(model.vocabulary, ids, first)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(name["id"].copy()), pa.array(name["key"].copy()), pa.array(score)], ["id", "key", "score"])
 
 
 def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +329,8 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     base = need(docs, id_col, text_col).select(ident.alias("id"), F.xxhash64(text).alias("key"), train.alias("train"), text.alias("text"))
 
     size = _encoding(path).n_vocab
-    encoded = _encoded(base, path, size)
+    stored = _stored(base, path, size)
+    encoded = stored.where(F.col("round") < ROUNDS)
     vocabulary = _vocabulary(encoded, size)
     model = attention.Model.start(vocabulary, _counts(encoded, vocabulary))
     model.p, _ = _trained(encoded, model)
@@ -338,14 +349,16 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     rare = parts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
     total = int(listed.sum()) + rare["total"] + ends
     distinct = int((listed > 0).sum()) + rare["words"] + (ends > 0)
-    ready = spark.sparkContext.broadcast((model, frequent, listed, ends))
-    scored = base.mapInArrow(lambda it: _score(it, path, *ready.value), _SCORE)
+    ready, learned = spark.sparkContext.broadcast((frequent, listed, ends)), spark.sparkContext.broadcast(model)
+    scored = base.mapInArrow(lambda it: _base(it, *ready.value), _BASE)
+    scores = stored.select("first", "ids", "names").mapInArrow(lambda it: _score(it, learned.value), "id long, key long, score double")
     packed = parts.where("block is not null").select("block", "sums").repartition(n_parts(spark), "block").sortWithinPartitions("block")
     sums = packed.mapInArrow(_gather, "id long, key long, part double, known long").withColumnsRenamed({"part": "_part", "known": "_known"})
     # Rows that repeat share one sum: each row's share is the sum over the number of them.
-    repeats = base.groupBy("id", "key").count()
-    sums = sums.join(repeats, ["id", "key"]).select("id", "key", (F.col("_part") / F.col("count")).alias("_part"), (F.col("_known") / F.col("count")).cast("long").alias("_known"))
-    out = scored.join(sums, ["id", "key"], "left")
+    # They have one text, so any one's score is all theirs.
+    repeats = scores.groupBy("id", "key").agg(F.count("*").alias("count"), F.max("score").alias("score"))
+    sums = repeats.join(sums, ["id", "key"], "left").select("score", "id", "key", (F.col("_part") / F.col("count")).alias("_part"), (F.col("_known") / F.col("count")).cast("long").alias("_known"))
+    out = scored.join(sums, ["id", "key"])
     norm = float(np.log10(total + 0.1 * (distinct + 1)))
     return out.select(
         F.when(F.col("id") > F.lit(-(1 << 63)), F.col("id")).alias(id_col),
@@ -358,29 +371,36 @@ def score_texts(docs: DataFrame, path: str, held_out: Column | None = None, id_c
     )
 
 
-_IDS = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+_IDS = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("names", T.BinaryType())])
+_NAME = np.dtype([("id", "<i8"), ("key", "<i8")])
 
 
 def _encoded(base: DataFrame, path: str, size: int) -> DataFrame:
-    """(first, ids) of all training texts, a row for each chunk and training round, in a
-    table that is laid out by round."""
+    """Those of ``_stored`` that train."""
+    return _stored(base, path, size).where(F.col("round") < ROUNDS)
+
+
+def _stored(base: DataFrame, path: str, size: int) -> DataFrame:
+    """(first, ids, names) of all texts, a row for each chunk and training round, in a
+    table that is laid out by round; those that are held out are in round ROUNDS."""
     spark, kind = base.sparkSession, np.uint16 if size < 1 << 16 else np.uint32
     draw = F.pmod(F.xxhash64(F.lit("round"), "id", "key"), F.lit(1 << (ROUNDS - 1)))
     round_of = F.when(draw == 0, 0).otherwise(F.floor(F.log2(draw.cast("double"))) + 1).cast("int")
-    texts = base.where("train").select(round_of.alias("round"), "text")
+    texts = base.select(F.when(F.col("train"), round_of).otherwise(ROUNDS).alias("round"), "id", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rounds = b.column(0).to_numpy()
-            for at, to, data, offsets in tk.chunks(b.column(1), _CHUNK):
+            rounds, names = b.column(0).to_numpy(), np.zeros(len(b), _NAME)
+            names["id"], names["key"] = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for at, to, data, offsets in tk.chunks(b.column(3), _CHUNK):
                 w = tk.words(data, offsets, tk.LOWER)
                 ids, first = subwords(w, w.hashes(), path)
                 ids, n, out = ids.astype(kind), np.diff(first), []
-                for k in range(ROUNDS):
+                for k in range(ROUNDS + 1):
                     mine = rounds[at:to] == k
                     if mine.any():
-                        out.append((k, np.concatenate([[0], np.cumsum(n[mine])]).tobytes(), ids[np.repeat(mine, n)].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], _IDS.names)
+                        out.append((k, np.concatenate([[0], np.cumsum(n[mine])]).tobytes(), ids[np.repeat(mine, n)].tobytes(), names[at:to][mine].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[j] for x in out], pa.binary()) for j in (1, 2, 3)]], _IDS.names)
 
     where = new_path(spark, "lm-ids")
     with small_batches(spark):
@@ -450,7 +470,7 @@ def _trained(encoded: DataFrame, model: attention.Model) -> tuple[dict[str, np.n
         sent.unpersist()
         if parts:
             n, p = _mean(parts)
-            model = replace(model, p={k: w.astype(np.float32) for k, w in p.items()}, looked=None)
+            model = replace(model, p={k: w.astype(np.float32) for k, w in p.items()})
             tokens += n
     return model.p, tokens
 

@@ -337,6 +337,49 @@ def test_attention_is_a_distribution():
     assert abs(total / np.exp(prefix) - 1) < 1e-3
 
 
+def test_attention_steps_by_hand():
+    """Gradients against differences of the plain form's loss, texts of all lengths; a step
+    never holds logits of all classes of its positions; large tables are counted as by hand."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    first = np.cumsum([0, 0, 1, 5, 31, 32, 33, 57, 58, 59, 400])
+    ids = r.integers(0, 300, first[-1])
+    v = attention.build_vocabulary(np.append(ids, 300), 300)
+    counts = attention.Counts.empty(v)
+    counts.add(v, ids, first)
+    x, y, o = attention.sequences(v, ids, first)
+    m = attention.Model.start(v, counts)
+    pair, follow = np.zeros_like(counts.pair), np.zeros_like(counts.follow)
+    np.add.at(pair, (v.class_of[x], y), 1)
+    np.add.at(follow, (v.row_of[x], v.class_of[y]), 1)
+    assert (pair == counts.pair).all() and (follow == counts.follow).all() and pair.sum() == len(x)
+    m.train(x, y, o, epochs=3)
+    m.p = {k: w + r.normal(0, 0.1, w.shape).astype(np.float32) for k, w in m.p.items()}
+    every = attention.Windows.of(v, x, y, o)
+    grads = m._gradients([b for b, _ in every.blocks(np.arange(len(every.text)), 7)])
+    where = every.begin[:, None] + np.arange(attention.WIDTH)
+    keep = (where < every.end[:, None]) & (np.arange(attention.WIDTH) >= every.skip[:, None])
+    assert keep.sum() == len(x)
+
+    def loss(p):
+        logits = attention.Model(v, m.share, m.table, p).forward(every.rows_of[where], keep)[0]
+        return (np.log(np.exp(logits).sum(1)) - logits[np.arange(len(logits)), every.class_of[where[keep]]]).mean()
+
+    exact = {k: w.astype(np.float64) for k, w in m.p.items()}
+    for k, w in exact.items():
+        way = r.normal(size=w.shape)
+        change = (loss(exact | {k: w + 1e-5 * way}) - loss(exact | {k: w - 1e-5 * way})) / 2e-5
+        assert abs(change - (grads[k] * way).sum()) < 2e-3 * np.sqrt((grads[k] ** 2).sum()) + 1e-6, k
+    # Many windows at once: several arrays of logits of all classes would not fit.
+    long = r.integers(0, 300, 12_000)
+    x, y, o = attention.sequences(v, long, np.array([0, len(long)]))
+    tracemalloc.start()
+    m.train(x, y, o, batch=500)
+    assert tracemalloc.get_traced_memory()[1] < 4 * 4 * attention.CLASSES * len(long)
+    tracemalloc.stop()
+
+
 def test_attention_reaches_back():
     """Every position but a text's first ones sees at least seven subwords, and the feed-forward layer learns."""
     _, begin, skip = attention.windows(np.array([0, 500]))
