@@ -17,7 +17,7 @@ import base64
 import math
 import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ _SUM = np.dtype([("id", "<i8"), ("key", "<i8"), ("part", "<f8"), ("known", "<i8"
 
 _ODD_SPACE = regex.compile(r"[^\S\n ]")
 _encodings: dict[str, object] = {}
-_caches: dict[str, list[dict[int, bytes]]] = {}
+_caches: dict[str, list[_Lists]] = {}
 
 
 def _encoding(path: str):
@@ -67,23 +67,59 @@ def _encoding(path: str):
     return _encodings[path]
 
 
-def _encode(texts: list[str], path: str) -> list[bytes]:
-    """The subword ids of each word, as packed integers; words come behind a blank.
+@dataclass
+class _Lists:
+    """Subword lists of words; the words' hashes are in order."""
+
+    words: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def empty() -> _Lists:
+        return _Lists(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word; -1 for words that have none."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        i = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[i] == words, i, -1)
+
+    def lists(self, i: np.ndarray) -> np.ndarray:
+        """The lists at the places i, one behind the other."""
+        return self.ids[tk.ranges(self.begin[i], self.size[i])]
+
+    def add(self, words: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Words in order, none of which is here."""
+        at = np.searchsorted(self.words, words)
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.words, self.begin, self.size = np.insert(self.words, at, words), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def _encode(w: tk.Words, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids): the subwords of the words ``at``; words come behind a blank.
 
     One call encodes all words, parted by line ends, which the pattern keeps
     apart; words with odd white space inside are encoded one by one.
     """
-    e = _encoding(path)
-    joined = " " + "\n ".join(texts) + "\n"
-    if not texts or _ODD_SPACE.search(joined):
-        return [np.array(e.encode_ordinary(" " + t), np.uint32).tobytes() for t in texts]
+    e, n = _encoding(path), w.ends[at] - w.starts[at]
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    # A blank before each word, a line end behind it.
+    raw = np.full(int(n.sum()) + 2 * len(at), ord("\n"), np.uint8)
+    to = np.cumsum(n + 2) - n - 1
+    raw[to - 1] = ord(" ")
+    raw[tk.ranges(to, n)] = w.mapped[tk.ranges(w.starts[at], n)]
+    joined = raw.tobytes().replace(b"\xff", b"\0").decode("utf-8")
+    if _ODD_SPACE.search(joined):
+        lists = [e.encode_ordinary(x) for x in joined[:-1].split("\n")]
+        return np.array(list(map(len, lists))), np.array([i for x in lists for i in x], np.uint32)
     ids = np.array(e.encode_ordinary(joined), np.uint32)
-    ends = np.flatnonzero(ids == e.encode_single_token("\n"))
-    packed, at, out = ids.tobytes(), 0, []
-    for end in ends.tolist():
-        out.append(packed[4 * at : 4 * end])
-        at = end + 1
-    return out
+    inside = ids != e.encode_single_token("\n")
+    return np.diff(np.flatnonzero(~inside), prepend=-1) - 1, ids[inside]
 
 
 def subwords(w: tk.Words, h: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -93,31 +129,19 @@ def subwords(w: tk.Words, h: np.ndarray, path: str) -> tuple[np.ndarray, np.ndar
     the one filled before, whose words move over when they are seen again.
     """
     unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-    keys = unique.tolist()
-    _cache = _caches.setdefault(path, [{}, {}])
-    if len(_cache[0]) > CACHE_SIZE // 2:
-        _cache[1], _cache[0] = _cache[0], {}
+    _cache = _caches.setdefault(path, [_Lists.empty(), _Lists.empty()])
+    if len(_cache[0].words) > CACHE_SIZE // 2:
+        _cache[1], _cache[0] = _cache[0], _Lists.empty()
     young, old = _cache
-    lists, new = list(map(young.get, keys)), []
-    for i, x in enumerate(lists):
-        if x is None:
-            x = old.get(keys[i])
-            if x is None:
-                new.append(i)
-            else:
-                young[keys[i]] = lists[i] = x
-    if new:
-        raw = w.mapped.tobytes().replace(b"\xff", b"\0")
-        texts = [raw[s:e].decode("utf-8") for s, e in zip(w.starts[where[new]].tolist(), w.ends[where[new]].tolist(), strict=True)]
-        for i, x in zip(new, _encode(texts, path), strict=True):
-            young[keys[i]] = lists[i] = x
-    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-    flat = np.frombuffer(b"".join(lists), np.uint32)
-    begin = np.cumsum(size) - size
-    n = size[inverse]
-    ids = flat[tk.ranges(begin[inverse], n)].astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(n)])[w.first]
-    return ids, first
+    missing = np.flatnonzero(young.find(unique) < 0)
+    place = old.find(unique[missing])
+    again, place = missing[place >= 0], place[place >= 0]
+    young.add(unique[again], old.size[place], old.lists(place))
+    new = np.setdiff1d(missing, again, assume_unique=True)
+    young.add(unique[new], *_encode(w, where[new], path))
+    i = young.find(unique)[inverse]
+    first = np.concatenate([[0], np.cumsum(young.size[i])])[w.first]
+    return young.lists(i).astype(np.int64), first
 
 
 class FrequentWords:

@@ -259,6 +259,48 @@ def test_op3_learns_from_all_training_texts(spark):
     assert all(np.isfinite(w).all() and (w != before[k]).any() for k, w in p.items())
 
 
+def test_op3_subwords_without_a_step_a_word(monkeypatch):
+    """Subwords of all words as the library gives them, also after generations of the cache
+    change and with odd white space; no line of Python runs once a word."""
+    import sys
+
+    import pyarrow as pa
+
+    from firmscope.llm import textkernel as tk
+    from firmscope.llm.queries import tokenizer_path
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    e = lm_scoring._encoding(path)
+    monkeypatch.setattr(lm_scoring, "CACHE_SIZE", 8000)
+    monkeypatch.setattr(lm_scoring, "_caches", {})
+    steps = 0
+
+    def count(frame, event, _):
+        nonlocal steps
+        if frame.f_code.co_filename != lm_scoring.__file__:
+            return None
+        steps += event == "line"
+        return count
+
+    def check(texts):
+        nonlocal steps
+        for _, _, data, offsets in tk.chunks(pa.array(texts)):
+            w = tk.words(data, offsets, tk.LOWER)
+            h, steps, tracer = w.hashes(), 0, sys.gettrace()
+            sys.settrace(count)
+            try:
+                ids, first = lm_scoring.subwords(w, h, path)
+            finally:
+                sys.settrace(tracer)
+            wanted = [[i for x in words(t, True) for i in e.encode_ordinary(" " + x)] for t in texts]
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == wanted
+
+    for part in (0, 3000, 6000, 0):
+        check([" ".join(f"Wort{k} caf\u00e9{k % 7}" for k in range(part, part + 6000)), "", None, " \n"])
+        assert 0 < steps < 200
+    check(["a\x1cb c\u3000d x\0y \x85q", "wort1", "\u00e9 ok\x1fno"])
+
+
 def test_op3_scores_by_hand(spark):
     """Whole texts token by token over window borders, by the plain forward pass; held-out
     texts of a language with an order score better than under the words' counts alone;
